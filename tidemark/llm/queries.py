@@ -4,8 +4,9 @@ production parameters over its whole table, and the digest columns."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, simhash, substring, token_files, warc
+from tidemark.llm import ann, cotraining, imatch, mixing, packing, simhash, substring, token_files, warc
 from tidemark.llm.shared import Scratch, table
 
 
@@ -31,10 +32,23 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix")).taken()
 
@@ -43,6 +57,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_substring_dedup, op6_best_fit_packing, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_substring_dedup, op5_imatch, op6_best_fit_packing, op7_cotraining, op8_learned_partitions, op9_mixing, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
