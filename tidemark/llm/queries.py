@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, cotraining, imatch, mixing, packing, simhash, substring, token_files, warc
+from tidemark.llm import ann, cotraining, imatch, linededup, mixing, packing, simhash, substring, token_files, warc
 from tidemark.llm.shared import Scratch, table
 
 
@@ -32,6 +32,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.without_duplicate_lines(docs)
+    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_substring_dedup, op5_imatch, op6_best_fit_packing, op7_cotraining, op8_learned_partitions, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_substring_dedup, op4_line_dedup, op5_imatch, op6_best_fit_packing, op7_cotraining, op8_learned_partitions, op9_mixing, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

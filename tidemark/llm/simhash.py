@@ -200,3 +200,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, seed: int
     named = fps.join(roots, fps["node"] == roots["u"], "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     named = scratch.cut(named, "named")
     return of.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with one row for each group: that of the smallest id, of repeated
+    ids one. Only ids and text hashes are matched; texts move once. A group of
+    null ids alone keeps one row for each fingerprint."""
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
+    found = near_duplicates(docs, width, budget, seed, scratch)
+    first = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fingerprint")).alias("group")
+    found = found.select("doc_id", "fingerprint", first).groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "fingerprint")).alias("keep"))
+    heads = scratch.cut(found.select(F.col("keep.id").alias("_head")).distinct(), "heads")
+    ided = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    held = ided.join(heads, F.col("_id") == F.col("_head"), "left_semi")
+    names = [c for c in held.columns if c != "_id"]
+    counts = scratch.cut(ided.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias("_twice")), "repeated")
+    single = held.join(counts, F.col("_id") == F.col("_twice"), "left_anti").select(*names)
+    # rows of a repeated id: one for each
+    twice = held.join(counts, F.col("_id") == F.col("_twice"), "left_semi").dropDuplicates(["_id"]).select(*names)
+    return single.unionByName(twice)
