@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with its SQL oracle."""
 
-from __future__ import annotations
+from tidemark.plans import analytics, material
+from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "material"]
