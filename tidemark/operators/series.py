@@ -7,14 +7,20 @@ Lags are positional: a missing period shifts them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
 
 KEYS = ["grain", "entity_key", "direction", "measure"]
-ORDERED = Window.partitionBy(*KEYS).orderBy("sort_key")
-WHOLE = Window.partitionBy(*KEYS)
+
+
+def ordered() -> WindowSpec:
+    return Window.partitionBy(*KEYS).orderBy("sort_key")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy(*KEYS)
 
 
 def build(facts: DataFrame, min_points: int = 1) -> DataFrame:
@@ -23,7 +29,7 @@ def build(facts: DataFrame, min_points: int = 1) -> DataFrame:
     kept = facts.where(F.coalesce(~F.col("is_aggregate"), F.lit(True)))
     entity = F.coalesce("airport_iata", "airport_name", "airline_name").alias("entity_key")
     summed = kept.groupBy("grain", entity, "direction", "measure", "period", "sort_key").agg(F.sum("tonnage_kg").alias("tonnage_kg"), F.sum("prior_year_tonnage_kg").alias("prior_kg"))
-    return summed.withColumn("n_points", F.count("*").over(WHOLE)).where(F.col("n_points") >= min_points)
+    return summed.withColumn("n_points", F.count("*").over(whole())).where(F.col("n_points") >= min_points)
 
 
 def national_totals(facts: DataFrame) -> DataFrame:
@@ -40,18 +46,18 @@ def trend(series: DataFrame, totals: DataFrame) -> DataFrame:
     """[W-3 to W-7] Month on month, year on year, compound growth and share."""
     joined = series.join(totals, ["period", "direction"], "left")
     v, total = F.col("tonnage_kg"), F.nullif(F.col("total_kg"), F.lit(0.0))
-    yearly = F.first("period").over(ORDERED).rlike("-(FY|A)$")
+    yearly = F.first("period").over(ordered()).rlike("-(FY|A)$")
 
     def back(c: Column) -> Column:
-        return F.when(yearly, F.lag(c, 1).over(ORDERED)).otherwise(F.lag(c, 12).over(ORDERED))
+        return F.when(yearly, F.lag(c, 1).over(ordered())).otherwise(F.lag(c, 12).over(ordered()))
 
-    i, first = F.row_number().over(ORDERED) - 1, F.first("tonnage_kg").over(ORDERED)
+    i, first = F.row_number().over(ordered()) - 1, F.first("tonnage_kg").over(ordered())
     growth = F.round((F.pow(v / first, F.lit(1.0) / i) - 1) * 100, 2)
     share = v / total * 100
     return joined.select(
         *KEYS, "period", "sort_key", "tonnage_kg",
         F.coalesce(pct(v, F.nullif(F.col("prior_kg"), F.lit(0.0))), pct(v, back(v))).alias("yoy_pct"),
-        pct(v, F.lag("tonnage_kg", 1).over(ORDERED)).alias("mom_pct"),
+        pct(v, F.lag("tonnage_kg", 1).over(ordered())).alias("mom_pct"),
         F.when((i >= 1) & (first > 0) & (v >= 0), growth).alias("cagr_pct"),
         F.round(share, 3).alias("share_of_total"),
         F.round(F.round(share, 3) - back(share), 3).alias("share_shift_pp"),
@@ -75,9 +81,9 @@ def _deviation(values: Column, centre: Column) -> Column:
 def global_robust_z(series: DataFrame, value: str = "tonnage_kg") -> DataFrame:
     """[W-8] 0.6745 (x - median) / MAD over the whole series; by mean and
     deviation where the MAD is 0, 0 where that is 0 too."""
-    v, mid = F.col(value), F.expr(f"percentile({value}, 0.5)").over(WHOLE)
+    v, mid = F.col(value), F.expr(f"percentile({value}, 0.5)").over(whole())
     step = series.withColumn("global_median", mid).withColumn("_off", F.abs(v - F.col("global_median")))
-    mad, sd, mean = F.expr("percentile(_off, 0.5)").over(WHOLE), F.stddev_pop(v).over(WHOLE), F.avg(v).over(WHOLE)
+    mad, sd, mean = F.expr("percentile(_off, 0.5)").over(whole()), F.stddev_pop(v).over(whole()), F.avg(v).over(whole())
     z = F.when(mad != 0, 0.6745 * (v - F.col("global_median")) / mad).when(sd != 0, (v - mean) / sd).otherwise(0.0)
     return step.withColumn("global_z", z).drop("_off")
 
@@ -86,7 +92,7 @@ def local_robust_z(series: DataFrame, window: int = 12) -> DataFrame:
     """[W-9] As the global z, against the ``window`` periods before; with fewer
     than half (6 at least) of them, or none that differ, the global z stands."""
     g = global_robust_z(series)
-    past = F.collect_list("tonnage_kg").over(ORDERED.rowsBetween(-window, -1))
+    past = F.collect_list("tonnage_kg").over(ordered().rowsBetween(-window, -1))
     g = g.withColumn("_past", past).withColumn("_med", median(F.col("_past"))).withColumn("_mad", _deviation(F.col("_past"), F.col("_med")))
     n = F.size("_past")
     mean = F.aggregate("_past", F.lit(0.0), lambda s, x: s + x) / F.nullif(n, F.lit(0))
@@ -105,7 +111,7 @@ def severity(z: Column) -> Column:
 
 def trimmed(series: DataFrame) -> DataFrame:
     """[W-10] Without the zeros a series opens with."""
-    seen = F.max("tonnage_kg").over(ORDERED.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.max("tonnage_kg").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
     return series.withColumn("_seen", seen).where("_seen > 0").drop("_seen")
 
 
@@ -114,7 +120,7 @@ def statistical(series: DataFrame, threshold: float = 3.0) -> DataFrame:
     and large enough to have one."""
     z = local_robust_z(trimmed(series))
     v = F.col("tonnage_kg")
-    z = z.withColumns({"_n": F.count("*").over(WHOLE), "_some": F.avg((v > 0).cast("double")).over(WHOLE), "_peak": F.max(v).over(WHOLE)})
+    z = z.withColumns({"_n": F.count("*").over(whole()), "_some": F.avg((v > 0).cast("double")).over(whole()), "_peak": F.max(v).over(whole())})
     sound = (F.col("_n") >= 6) & (F.col("_some") >= 0.5) & (F.col("global_median") >= 10_000) & (F.try_divide(F.col("global_median"), F.col("_peak")) >= 0.15)
     hit = z.where(sound & (F.abs("z") >= threshold) & (v >= 1000))
     base = F.col("baseline_kg")
@@ -124,7 +130,7 @@ def statistical(series: DataFrame, threshold: float = 3.0) -> DataFrame:
 def structural(series: DataFrame, window: int = 3) -> DataFrame:
     """[W-15] A service that starts or stops: ``window`` zeros on one side,
     ``window`` positive periods on the other."""
-    past, ahead = ORDERED.rowsBetween(-window, -1), ORDERED.rowsBetween(1, window)
+    past, ahead = ordered().rowsBetween(-window, -1), ordered().rowsBetween(1, window)
     v = F.col("tonnage_kg")
     s = series.select("*", *[f("tonnage_kg").over(w).alias(f"_{n}{k}") for k, w in (("b", past), ("a", ahead)) for n, f in (("min", F.min), ("max", F.max), ("n", F.count), ("all", F.collect_list))])
     full = (F.col("_nb") == window) & (F.col("_na") == window) & (v > 0)
@@ -175,26 +181,26 @@ def candidates(series: DataFrame) -> DataFrame:
     """[W-18] What each candidate predicts one step after every row; ``season``
     is 12, or 1 for yearly series."""
     v = F.col("tonnage_kg")
-    yearly = F.first("period").over(ORDERED).rlike("-(FY|A)$")
-    n, first = F.row_number().over(ORDERED), F.first("tonnage_kg").over(ORDERED)
+    yearly = F.first("period").over(ordered()).rlike("-(FY|A)$")
+    n, first = F.row_number().over(ordered()), F.first("tonnage_kg").over(ordered())
 
     def recent(k: int) -> Column:
-        return F.avg("tonnage_kg").over(ORDERED.rowsBetween(1 - k, 0))
+        return F.avg("tonnage_kg").over(ordered().rowsBetween(1 - k, 0))
 
     return series.withColumns({
         "i": n, "season": F.when(yearly, 1).otherwise(12),
         "naive": v,
         "slope": F.when(n >= 2, (v - first) / (n - 1)).otherwise(0.0),
         "recent_mean": F.when(yearly, recent(6)).otherwise(recent(12)),
-        "seasonal_naive": F.when(~yearly & (n >= 12), F.lag("tonnage_kg", 11).over(ORDERED)).otherwise(v),
+        "seasonal_naive": F.when(~yearly & (n >= 12), F.lag("tonnage_kg", 11).over(ordered())).otherwise(v),
     }).withColumn("drift", v + F.col("slope"))
 
 
 def backtest(series: DataFrame) -> DataFrame:
     """[W-20, A-25] Mean absolute percentage error of each candidate over the
     last three periods, each predicted from the row before; long form."""
-    c = candidates(series).withColumn("n", F.count("*").over(WHOLE))
-    c = c.withColumns({f"p_{k}": F.lag(k).over(ORDERED) for k in NAMES})
+    c = candidates(series).withColumn("n", F.count("*").over(whole()))
+    c = c.withColumns({f"p_{k}": F.lag(k).over(ordered()) for k in NAMES})
     folds = c.where((F.col("n") >= 6) & (F.col("i") > F.col("n") - FOLDS))
     need = {"naive": F.lit(2), "drift": F.lit(3), "recent_mean": F.lit(3), "seasonal_naive": F.col("season")}
     each = F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(k).alias("model"), F.col(f"p_{k}").alias("predicted"), need[k].alias("need")) for o, k in enumerate(NAMES)])).alias("m")
@@ -225,8 +231,8 @@ def winners(series: DataFrame) -> DataFrame:
 
 def forecasts(series: DataFrame, horizon: int = 3, min_points: int = 8) -> DataFrame:
     """[W-18 to W-24] Published forecasts of the simple candidates."""
-    c = candidates(series).withColumn("n", F.count("*").over(WHOLE))
-    past = F.collect_list("tonnage_kg").over(ORDERED.rowsBetween(-11, 0))
+    c = candidates(series).withColumn("n", F.count("*").over(whole()))
+    past = F.collect_list("tonnage_kg").over(ordered().rowsBetween(-11, 0))
     last = c.withColumn("_season", past).where((F.col("i") == F.col("n")) & (F.col("n") >= min_points)).drop("n", "season")
     w = winners(series)
     joined = last.join(w, KEYS).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
-from tidemark.operators import series, structure, warehouse
+from tidemark.operators import kernels, series, structure, warehouse
 from tidemark.plans import proxy
 from tidemark.plans.registry import query
 from tidemark.plans.semantic import QuerySpec, citations, compile_query
@@ -124,7 +124,7 @@ _TREND = f"""{proxy.SERIES}, totals AS (SELECT period, direction, sum(tonnage_kg
 
 @query("trend_growth_share", f"""WITH {_TREND} SELECT grain, entity_key, direction, measure, period, sort_key, tonnage_kg,
   coalesce(round((tonnage_kg - prior_kg) / nullif(prior_kg, 0) * 100, 2), round((tonnage_kg - v12) / nullif(v12, 0) * 100, 2)) AS yoy_pct, round((tonnage_kg - v1) / nullif(v1, 0) * 100, 2) AS mom_pct,
-  CASE WHEN i >= 1 AND v0 > 0 THEN round((pow(tonnage_kg / v0, 1.0 / i) - 1) * 100, 2) END AS cagr_pct, round(tonnage_kg / total_kg * 100, 3) AS share_of_total, round(round(tonnage_kg / total_kg * 100, 3) - share12, 3) AS share_shift_pp FROM t""")
+  CASE WHEN i >= 1 AND v0 > 0 THEN round((pow(tonnage_kg / v0, 1.0 / i) - 1) * 100, 2) END AS cagr_pct, round(tonnage_kg / total_kg * 100, 3) AS share_of_total, CASE WHEN round(round(tonnage_kg / total_kg * 100, 3) - share12, 3) = 0 THEN 0.0 ELSE round(round(tonnage_kg / total_kg * 100, 3) - share12, 3) END AS share_shift_pp FROM t""")
 def trend_growth_share(spark, d):
     """[W-2 to W-7]"""
     facts = proxy.series_facts(spark, d)
@@ -392,8 +392,28 @@ def detector_precision_recall(spark, d):
     directions collapsed."""
     s = series.build(proxy.series_facts(spark, d))
     ev = series.statistical(s).select("grain", "entity_key", "period").distinct().withColumn("hit", F.lit(True))
-    back = F.lag("tonnage_kg", 12).over(series.ORDERED)
+    back = F.lag("tonnage_kg", 12).over(series.ordered())
     lab = s.withColumn("v12", back).where("v12 > 0").withColumn("genuine", F.abs(F.col("tonnage_kg") - F.col("v12")) > 0.6 * F.col("v12"))
     j = lab.groupBy("grain", "entity_key", "period").agg(F.bool_or("genuine").alias("genuine")).join(ev, ["grain", "entity_key", "period"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     g = j.agg(F.count_if(F.col("genuine") & F.col("hit")).alias("tp"), F.count_if(~F.col("genuine") & F.col("hit")).alias("fp"), F.count_if(F.col("genuine") & ~F.col("hit")).alias("fn"))
     return g.select("tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision_"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall_"))
+
+
+@query("seasonal_components")
+def seasonal_components(spark, d):
+    """[W-13] Tested by properties."""
+    s = series.build(proxy.series_facts(spark, d), 60).where("direction = 'TOTAL' and grain = 'AIRPORT'")
+    return kernels.decomposed(s).select(*series.KEYS, "period", *[F.round(c, 3).alias(c) for c in ("trend_kg", "seasonal_kg", "residual_kg")])
+
+
+@query("merged_anomalies")
+def merged_anomalies(spark, d):
+    """[W-14, W-16] Tested by properties."""
+    return kernels.detect(series.build(proxy.series_facts(spark, d)).where("direction = 'TOTAL' and grain = 'AIRPORT'"))
+
+
+@query("arima_forecasts")
+def arima_forecasts(spark, d):
+    """[W-19] Tested by properties."""
+    s = series.build(proxy.series_facts(spark, d)).where("direction = 'TOTAL' and grain = 'AIRPORT'")
+    return kernels.arima_forecasts(s)
