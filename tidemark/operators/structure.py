@@ -38,7 +38,7 @@ def pearson(x: Column, y: Column) -> Column:
     """[A-17] Over at least four pairs that vary; else null."""
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    return F.when((F.count(a) >= 4) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))
+    return F.when(F.count(a) >= 4, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def carrier_efficiency(metrics: DataFrame) -> DataFrame:
