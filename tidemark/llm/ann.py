@@ -4,8 +4,9 @@ A bounded sample (``sample`` rows, the smallest by a hash of their id) gives a
 neighbour graph; recursive spectral bisection cuts it into balanced parts of few
 cut edges; a small network learns which parts hold a vector's neighbours. Every
 row is indexed under its likeliest part. A query goes to its ``probes`` likeliest
-parts, as many as reach ``coverage`` of the sample's true neighbours, and their
-rows are reranked exactly. A part of many rows or queries is dealt to cells, so
+parts, as many as reach ``coverage`` of the sample's true neighbours: first to the likeliest, then
+to the others, which return only what beats its k-th product. All are exact
+products. A part of many rows or queries is dealt to cells, so
 no task holds more than ``cell`` rows and ``cell`` queries.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
@@ -122,26 +123,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def top(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Each query's ``k`` largest inner products. Products that may be among them
-    are taken again one by one, so that equal vectors score equally."""
+def top(queries: np.ndarray, ids: np.ndarray, lows: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Each query's ``k`` largest inner products of at least its ``lows``. Products
+    that may be among them are taken again one by one, so that equal vectors score
+    equally."""
     out: list[tuple] = []
     for at in range(0, len(queries), 256):
         s = queries[at : at + 256] @ rows.T
         s[ids[at : at + 256, None] == row_ids[None, :]] = -np.inf
         n = min(k, s.shape[1])
         least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-        for i, low in enumerate(least):
-            found = np.flatnonzero((s[i] >= low - 1e-9 * (1 + abs(low)) if np.isfinite(low) else s[i] > -np.inf))
+        least = np.maximum(least, lows[at : at + 256])
+        slack = np.where(np.isfinite(least), 1e-9 * (1 + np.abs(least)), 0)
+        for i in np.flatnonzero(s.max(1) >= least - slack):
+            found = np.flatnonzero((s[i] >= least[i] - slack[i]) & (s[i] > -np.inf))
             exact = (rows[found] * queries[at + i]).sum(1)
             best = np.lexsort((row_ids[found], -exact))[:k]
+            best = best[exact[best] >= lows[at + i]]
             out.append((np.full(len(best), ids[at + i]), row_ids[found[best]], exact[best]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 10_000, per_part: int = 2000, coverage: float = 0.985, cell: int = 4096, scratch: Scratch | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 10_000, per_part: int = 8192, coverage: float = 0.95, cell: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the rows that ``is_query``."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
@@ -166,22 +171,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 10_0
     routed = scratch.cut(v.mapInArrow(route, "vec_id long, x array<double>, is_query boolean, parts array<int>"), "routed")
     home = F.element_at("parts", 1).alias("part")
     sizes = routed.groupBy(home).agg(F.ceil(F.count("*") / cell).cast("int").alias("row_cells"))  # one row for each part
-    asked = routed.where("is_query").select("vec_id", "x", F.explode("parts").alias("part"))
+    asked = routed.where("is_query").select("vec_id", "x", F.posexplode("parts").alias("probe", "part"))
     loads = asked.groupBy("part").agg(F.ceil(F.count("*") / cell).cast("int").alias("query_cells"))
     cells = F.broadcast(scratch.cut(sizes.join(loads, "part"), "cells"))
     some = lambda n, salt: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(cells, "part").withColumn("qc", some("query_cells", 1)).select("part", "qc", every("row_cells").alias("rc"), "vec_id", "x")
     right = routed.select("vec_id", "x", home).join(cells, "part").withColumn("rc", some("row_cells", 2)).select("part", every("query_cells").alias("qc"), "rc", "vec_id", "x")
     right = right.select(*[F.col(c).alias(f"row_{c}") for c in right.columns])
 
     def rerank(q: pa.Table, r: pa.Table) -> pa.Table:
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if q.num_rows and r.num_rows:
-            found = top(_matrix(q["x"]), q["vec_id"].to_numpy(), _matrix(r["row_x"]), r["row_vec_id"].to_numpy(), k)
+            found = top(_matrix(q["x"]), q["vec_id"].to_numpy(), q["low"].to_numpy(), _matrix(r["row_x"]), r["row_vec_id"].to_numpy(), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
-    key = ["part", "qc", "rc"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*[f"row_{c}" for c in key])).applyInArrow(rerank, _FOUND)
+    def reranked(queries: DataFrame) -> DataFrame:
+        key = ["part", "qc", "rc"]
+        left = queries.join(cells, "part").withColumn("qc", some("query_cells", 1)).select("part", "qc", every("row_cells").alias("rc"), "vec_id", "x", "low")
+        return left.groupBy(*key).cogroup(right.groupBy(*[f"row_{c}" for c in key])).applyInArrow(rerank, _FOUND)
+
+    # the likeliest part first; the others then return only what beats its k-th
+    near = scratch.cut(reranked(asked.where("probe = 0").withColumn("low", F.lit(float("-inf")))), "nearest")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    lows = scratch.cut(near.withColumn("_r", rank).where(F.col("_r") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("_low")), "lows")
+    rest = asked.where("probe > 0").join(lows, F.col("vec_id") == F.col("_q"), "left").withColumn("low", F.coalesce("_low", F.lit(float("-inf"))))
+    found = near.unionByName(reranked(rest))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
