@@ -160,21 +160,25 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = 64, seed: in
     blocks aren't all used holding the words of those that are."""
     mix = Mix(docs, scratch, block, seed=seed)
     spans = mix.uses().groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word", "uses"))).alias("spans"))
-    spans = mix.documents.join(spans, "row_id").select("doc_id", F.col("source").alias("_s"), "size", "_text", "spans")
+    spans = mix.documents.join(spans, "row_id").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__src"), F.col("_text").alias("__text"), F.col("size").alias("__size"), F.col("spans").alias("__spans"))
     # equal rows are interchangeable: the k-th of them takes the k-th spans
-    same = ["doc_id", "_s", "_text"]
-    spans = scratch.cut(spans.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy("spans"))), "spans")
+    spans = spans.groupBy("__doc", "__src", "__text", "__size").agg(F.sort_array(F.collect_list("__spans")).alias("__each"))
+    spans = scratch.cut(spans, "spans")
     names = docs.columns
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_hash": F.xxhash64("text")})
-    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_source", "_hash").orderBy(F.lit(1))))
-    held = keyed.join(spans.withColumnRenamed("doc_id", "_doc"), F.col("_id").eqNullSafe(F.col("_doc")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_text")) & (F.col("_n") == F.col("_k")))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__hash": F.xxhash64("text")})
+    same = F.col("__id").eqNullSafe(F.col("__doc")) & F.col("__source").eqNullSafe(F.col("__src")) & (F.col("__hash") == F.col("__text"))
+    held = keyed.join(spans, same)
+    single = held.where(F.size("__each") == 1).withColumn("__spans", F.get("__each", F.lit(0)))
+    order = Window.partitionBy("__id", "__source", "__hash").orderBy(F.lit(1))
+    several = held.where(F.size("__each") > 1).withColumn("__k", F.row_number().over(order)).withColumn("__spans", F.get("__each", F.col("__k") - 1)).where(F.col("__spans").isNotNull())
+    held = single.select(*names, "__size", "__spans").unionByName(several.select(*names, "__size", "__spans"))
     schema = docs.schema
     at = names.index("text")
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             picks, texts = [], []
-            for i, (text, size, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("size").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+            for i, (text, size, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__size").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
                 words = None
                 for k in range(1, MOST_USES + 1):
                     kept = [(s["from_word"], s["to_word"]) for s in spans if s["uses"] >= k]
@@ -193,4 +197,4 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = 64, seed: in
                 columns[names.index("n_chars")] = pa.array([len(t) for t in texts], rows.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return held.select(*names, "size", "spans").mapInArrow(copies, schema)
+    return held.mapInArrow(copies, schema)
