@@ -64,16 +64,39 @@ def codes(line: Column, rank: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, rank: Column, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those ``a`` of ``pairs`` (a, b) that are similar to their ``b``."""
-    pairs = scratch.cut(pairs.distinct(), f"{name}-pairs")
+def _sets(docs: DataFrame, places: DataFrame, rank: Column) -> DataFrame:
+    """The word sets of the lines at ``places`` (id, doc, th, at). Texts meet the
+    places of their own lines and are split once more; no other line's words move."""
+    wanted = places.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("id", "at")).alias("wanted"))
+    texts = docs.withColumn("th", F.xxhash64("text")).join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")))
+    split = F.split("text", "\n", -1)
+    found = F.transform(F.array(split), lambda x: F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), codes(F.get(x, w["at"]), rank).alias("x"))))
+    return texts.select(F.explode(F.element_at(found, 1)).alias("s")).select("s.*").dropDuplicates(["id"])
+
+
+def _bits(x: Column, half: int) -> Column:
+    """64 of 128 bits, one for each word of the set."""
+    return F.aggregate(x, F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(F.when(h.bitwiseAND(64) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, held: DataFrame, rank: Column, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those ``a`` of ``pairs`` (a, b) that are similar to their ``b``. The bits
+    of two sets differ at most as the sets do, which drops nearly all pairs that
+    aren't before a word of them is fetched."""
+    bits = lambda k: held.selectExpr(f"id as {k}", f"n as n{k}", f"s0 as s0{k}", f"s1 as s1{k}")
+    differ = F.expr("bit_count(s0a ^ s0b) + bit_count(s1a ^ s1b)")
+    near = pairs.distinct().join(bits("a"), "a").join(bits("b"), "b").where(differ * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
+    pairs = scratch.cut(near.select("a", "b"), f"{name}-pairs")
+    scratch.drop()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.cut(lines.join(needed, "id", "left_semi").select("id", codes(F.col("line"), rank).alias("x")), f"{name}-sets")
+    places = classes.join(needed, "id", "left_semi").select("id", "first.*")
+    sets = scratch.cut(_sets(docs, places, rank), f"{name}-sets")
+    scratch.drop()
     both = pairs.join(sets.selectExpr("id as a", "x as xa"), "a").join(sets.selectExpr("id as b", "x as xb"), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     found = both.where(common * (num + den) >= num * (F.size("xa") + F.size("xb"))).select("a").distinct()
     found = scratch.cut(found, f"{name}-found")
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-pairs")
     return found
 
 
@@ -90,37 +113,41 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, num: int = 4, den: int =
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text").where(F.col("text").isNotNull())
     rank = rarity(docs)
     exploded = docs.select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    coded = exploded.withColumn("x", codes(F.col("line"), rank)).where(F.size("x") > 0)
-    lines = coded.select("doc", "th", "at", "line", F.size("x").alias("n"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
+    coded = exploded.select("doc", "th", "at", codes(F.col("line"), rank).alias("x")).where(F.size("x") > 0)
+    n = F.size("x")
+    # prefixes as 32-bit hashes: equal words stay equal, other matches fail the verification
+    prefix = F.transform(F.slice("x", 1, F.floor(n * (den - num) / den).cast("int") + 1), lambda w: F.hash(w))
+    able = n * den >= num * (n + 1)  # smaller sets match equal ones alone
+    lines = coded.select("doc", "th", "at", n.alias("n"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"), F.when(able, prefix).alias("prefix"), _bits(F.col("x"), 0).alias("s0"), _bits(F.col("x"), 1).alias("s1"))
     lines = scratch.cut(lines, "lines")
     scratch.drop()
     key = ["h1", "h2"]
-    classes = lines.groupBy(*key).agg(F.min(F.struct("doc", "th", "at")).alias("first"), F.first("line").alias("line"), F.first("n").alias("n"))
-    ordered = in_total_order(classes, [F.col("first")], scratch, "classes")
-    ordered = ordered.withColumn("id", F.shiftleft("_pid", 33).bitwiseOR(F.col("_row")))  # grows with the first place
+    classes = lines.groupBy(*key).agg(F.min(F.struct("doc", "th", "at")).alias("first"))
+    classes = in_total_order(classes, [F.col("first")], scratch, "classes")
+    classes = classes.withColumn("id", F.shiftleft("_pid", 33).bitwiseOR(F.col("_row"))).drop("_pid", "_row")  # grows with the first place
+    scratch.drop()
+    heads = classes.select("id", *[F.col(f"first.{c}").alias(c) for c in ("doc", "th", "at")])
+    held = lines.where("prefix is not null").select("doc", "th", "at", "n", "prefix", "s0", "s1").join(heads, ["doc", "th", "at"]).dropDuplicates(["id"])
+    held = scratch.cut(held.select("id", "n", "prefix", "s0", "s1"), "held")
     scratch.drop()
-    prefix = F.slice(codes(F.col("line"), rank), 1, F.floor(F.col("n") * (den - num) / den).cast("int") + 1)
-    able = ordered.where(F.col("n") * den >= num * (F.col("n") + 1)) if num < den else ordered.where("false")  # smaller sets match equal ones alone
-    rows = able.select("id", "n", F.posexplode(prefix).alias("p", "word"))
+    rows = held.select("id", "n", F.posexplode("prefix").alias("p", "word"))
     w = Window.partitionBy("word")
-    rows = rows.withColumns({"low": F.min(F.struct("id", "n", "p")).over(w), "most": F.max("id").over(w)}).where(F.col("low.id") < F.col("most")).drop("most")
-    rows = scratch.cut(rows, "prefixes")
+    rows = rows.withColumns({"low": F.min(F.struct("id", "n", "p")).over(w), "most": F.max("id").over(w)}).where(F.col("low.id") < F.col("most"))
+    rows = scratch.cut(rows.select("word", "id", "n", "p", "low"), "prefixes")
     scratch.drop()
     first = rows.where(F.col("low.id") < F.col("id")).where(_possible(F.col("n"), F.col("p"), F.col("low.n"), F.col("low.p"), num, den)).select(F.col("id").alias("a"), F.col("low.id").alias("b"))
-    texts = ordered.select("id", "line")
-    found = _verified(first, texts, rank, num, den, scratch, "first")
+    found = _verified(first, docs, classes, held, rank, num, den, scratch, "first")
     probe = rows.select("word", "id", "n", "p").join(found.withColumnRenamed("a", "_a"), F.col("id") == F.col("_a"), "left_anti")
     probe = probe.select("word", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"))
     other = rows.where(F.col("low.id") < F.col("id")).select("word", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"))
     rest = probe.join(other, "word").where((F.col("b") < F.col("a")) & _possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), num, den)).select("a", "b")
-    found = found.unionByName(_verified(rest, texts, rank, num, den, scratch, "rest"))
-    matched = ordered.select("id", *key, "first").join(found.withColumn("gone", F.lit(True)), F.col("id") == F.col("a"), "left")
+    found = found.unionByName(_verified(rest, docs, classes, held, rank, num, den, scratch, "rest"))
+    matched = classes.select("id", *key, "first").join(found.withColumn("gone", F.lit(True)), F.col("id") == F.col("a"), "left")
     matched = scratch.cut(matched.select(*key, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "matched")
-    scratch.drop("prefixes", "first-pairs", "rest-pairs")
+    scratch.drop("prefixes", "classes", "held")
     gone = lines.select(*key, "doc", "th", "at").join(matched, key).where("gone or struct(doc, th, at) <> first")
-    gone = gone.groupBy("doc", "th").agg(F.collect_set("at").alias("removed"))
-    gone = scratch.cut(gone, "gone")
-    scratch.drop("lines", "classes")
+    gone = scratch.cut(gone.groupBy("doc", "th").agg(F.collect_set("at").alias("removed")), "gone")
+    scratch.drop("lines", "matched")
     return gone
 
 
@@ -128,11 +155,12 @@ def without_duplicate_lines(docs: DataFrame, num: int = 4, den: int = 5, scratch
     """``docs`` without the lines that an earlier line matches; ``_lines`` and
     ``_removed`` are their numbers."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    gone = duplicate_lines(docs, scratch, num, den)
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_th": F.xxhash64("text")})
-    joined = keyed.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th")), "left")
+    gone = duplicate_lines(docs.select("doc_id", "text"), scratch, num, den)
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("removed").alias("__removed"))  # names that no table has
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__hash": F.xxhash64("text")})
+    joined = keyed.join(gone, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__th")), "left")
     split = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.element_at(F.transform(F.array(split), lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")), 1))
-    counts = {"_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long")}
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__removed"))
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.element_at(F.transform(F.array(split), lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")), 1))
+    counts = {"_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("__removed"), F.lit(0)).cast("long")}
     return joined.withColumns(counts).withColumn("text", text).select(*docs.columns, *counts)
