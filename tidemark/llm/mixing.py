@@ -148,10 +148,12 @@ class Mix:
     def uses(self) -> DataFrame:
         """``pieces`` with ``uses``, how often the mix takes their block."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-        return self.pieces.join(times, ["source_no", "block"])
+        # written first: the planner takes slots for as few as the draws they come from, and would broadcast them
+        return self.pieces.join(self.scratch.cut(times, "times"), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
         words = self.uses().groupBy("row_id").agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("uses")).alias("taken"))
+        words = self.scratch.cut(words, "words")
         return self.documents.join(words, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
