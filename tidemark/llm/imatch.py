@@ -107,27 +107,25 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows with ``next_text`` and ``next_fingerprint``: of the following row by
-    descending id, after the last the first. Texts move once, to ranges of ids;
-    only the first row of each range goes to another."""
-    ids = docs.select("doc_id")
-    placed = in_total_order(ids, [F.desc_nulls_last("doc_id")], scratch, "order")
+    """Rows with ``next_text``: that of the following row by descending id, after
+    the last the first. Texts move once, to ranges of ids; only the first row of
+    each range goes to another."""
+    # ids are small, texts aren't: several ranges for each shuffle partition of the texts
+    ranges = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = in_total_order(docs.select("doc_id"), [F.desc_nulls_last("doc_id")], scratch, "order", ranges)
     lows = [r["low"] for r in placed.groupBy("_pid").agg(F.max("doc_id").alias("low")).collect()]  # one for each partition
     lows = sorted({x for x in lows if x is not None}, reverse=True)
     bounds = F.array(*[F.lit(x) for x in lows]) if lows else F.array().cast("array<long>")
     bucket = F.when(F.col("doc_id").isNull(), len(lows)).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("doc_id"))))
     ranged = docs.withColumns({"_bucket": bucket, "_h": F.xxhash64("text")})
-    order = [F.desc_nulls_last("doc_id"), F.col("_h")]
-    firsts = ranged.groupBy("_bucket").agg(F.max_by(F.struct("text", "fingerprint"), F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), (-F.col("_h").cast("decimal(20,0)")).alias("h"))).alias("_first"))
-    firsts = scratch.cut(firsts, "firsts")
-    follow = firsts.withColumn("_n", F.lead("_first").over(Window.orderBy("_bucket")))  # one row for each range
-    follow = follow.withColumn("_n", F.coalesce("_n", F.first("_first").over(Window.orderBy("_bucket")))).select("_bucket", "_n")
-    follow = scratch.cut(follow, "follow")
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    led = ranged.withColumn("_lead", F.lead(F.struct("text", "fingerprint")).over(w))
-    joined = led.join(F.broadcast(follow.withColumnRenamed("_bucket", "_b")), (F.col("_bucket") == F.col("_b")) & F.col("_lead").isNull(), "left")
-    following = F.coalesce("_lead", "_n")
-    return joined.select("doc_id", "text", "fingerprint", following["text"].alias("next_text"), following["fingerprint"].alias("next_fingerprint"))
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), (-F.col("_h").cast("decimal(20,0)")).alias("h"))
+    firsts = scratch.cut(ranged.groupBy("_bucket").agg(F.max_by("text", place).alias("_first")), "firsts")
+    w = Window.orderBy("_bucket")  # one row for each range
+    follow = firsts.select("_bucket", F.coalesce(F.lead("_first").over(w), F.first("_first").over(w)).alias("_n"))
+    follow = scratch.cut(follow.withColumnRenamed("_bucket", "_b"), "follow")
+    led = ranged.withColumn("_lead", F.lead("text").over(Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), "_h")))
+    joined = led.join(follow, (F.col("_bucket") == F.col("_b")) & F.col("_lead").isNull(), "left")
+    return joined.select("doc_id", "text", F.coalesce("_lead", "_n").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, scratch: Scratch | None = None) -> DataFrame:
@@ -137,9 +135,11 @@ def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, scratc
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     bits = lexicon(docs, low, high)
     scratch.drop()
-    pairs = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"), bits)), scratch)
+    pairs = with_next(docs, scratch)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = pairs.withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half))).withColumn("n_chars", n.cast("long"))
-    edited = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited"), bits).alias("edited_fingerprint"), "next_fingerprint")
-    return edited.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
+    pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    # the next text is fingerprinted again rather than moved with its fingerprint
+    prints = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text"), bits).alias("fingerprint"), fingerprint(F.col("edited"), bits).alias("edited_fingerprint"), fingerprint(F.col("next_text"), bits).alias("next_fingerprint"))
+    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

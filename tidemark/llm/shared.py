@@ -54,12 +54,13 @@ class Scratch:
         jvm.System.gc()
 
 
-def in_total_order(df: DataFrame, keys: list[Column], scratch: Scratch, name: str) -> DataFrame:
+def in_total_order(df: DataFrame, keys: list[Column], scratch: Scratch, name: str, ranges: int | None = None) -> DataFrame:
     """Adds ``_pid`` and ``_row``: rows sorted by ``keys`` over range partitions,
     with each row's place in its partition. Written once, so the numbers hold
-    whatever is recomputed later. No task sees more than its range.
+    whatever is recomputed later. No task sees more than its range. ``ranges``:
+    their number, where it must not follow the size of ``df``.
     """
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = (df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     placed = scratch.cut(placed.withColumn("_m", F.monotonically_increasing_id()), name)
     return placed.withColumns({"_pid": F.shiftright("_m", 33), "_row": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m")
 
