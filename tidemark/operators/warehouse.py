@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +63,6 @@ def fuzzy(names: DataFrame, airports: DataFrame, floor: float = 0.86) -> DataFra
     matching-blocks ratio; for the few names that the exact cascade left."""
     from difflib import SequenceMatcher
 
-    import pandas as pd
-
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
