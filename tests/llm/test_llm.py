@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, components, cotraining, imatch, linededup, mixing, packing, queries, shared, simhash, substring, token_files, warc
+from tidemark.llm import ann, components, cotraining, imatch, linededup, mixing, packing, queries, shared, shingles, simhash, substring, token_files, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -438,6 +438,52 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 51)}, **{100 + k: 100 for k in range(1, 60)}, 201: 200}
 
 
+# ---- near-duplicates by shingles
+
+
+def brute_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_heads(texts):
+    sets, root = [brute_shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def test_one_of_each_by_shingles(spark, texts):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    base = [t for t in texts if t and len(t) > 300][:12]
+    more = [*texts, *(" ".join(map(str, range(k, k + 100))) for k in range(0, 60, 6))]  # a chain of links
+    for t in base * 6:
+        w = t.split()
+        for _ in range(rng.randint(1, max(1, len(w) // 40))):
+            w[rng.randrange(len(w))] = f"edit{rng.random()}"
+        more.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
+    rng.shuffle(more)
+    df = docs(spark, more)
+    want = brute_heads(more)
+    got = shingles.one_of_each(df.repartition(3))
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == want
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
+    assert shingles.one_of_each(docs(spark, [])).count() == 0
+    null = docs(spark, [None, "", *base[:3], base[0] + " end"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert shingles.one_of_each(null.unionByName(null)).count() == 4
+
+
 # ---- pipeline
 
 

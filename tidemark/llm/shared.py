@@ -40,6 +40,12 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def within(self, name: str) -> Scratch:
+        """A folder of its own, for steps whose tables have fixed names."""
+        inner = Scratch.__new__(Scratch)
+        inner.spark, inner.path = self.spark, self.at(name)
+        return inner
+
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
