@@ -407,6 +407,22 @@ def test_simhash(spark, texts):
     assert {r["component_id"] for r in simhash.near_duplicates(null).collect()} == {None}
 
 
+def bits_apart(monkeypatch, prints):
+    """Fingerprints as given for each text."""
+    def rows(docs, *_):
+        to = F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])
+        return docs.select(F.col("doc_id").cast("long"), to[F.col("text")].cast("long").alias("fp"), F.xxhash64("text").alias("th"))
+    monkeypatch.setattr(simhash, "fingerprints", rows)
+
+
+def test_null_ids_link(spark, monkeypatch):
+    bits_apart(monkeypatch, {"a": 0b0, "near a": 0b11, "far": 0b1111, "x": 31 << 40, "y": 0xFF << 20, "near y": 0x7F << 20})
+    rows = [(7, "a"), (None, "near a"), (3, "far"), (-5, "x"), (None, "y"), (None, "near y")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # the null id is near a and bridges 7 and 3; y's group has no id
+    assert sorted(((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in got), key=str) == sorted([(7, 0, 3), (None, 3, 3), (3, 15, 3), (-5, 31 << 40, -5), (None, 0xFF << 20, None), (None, 0x7F << 20, None)], key=str)
+
+
 def test_large_cells_are_dealt_anew(spark):
     rng = np.random.default_rng(3)
     v = np.full(400, rng.integers(0, 2**63), np.uint64)

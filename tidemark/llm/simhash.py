@@ -11,7 +11,8 @@ then join up by connected components.
 
 Null or empty text has fingerprint zero and links like any other; equal texts
 meet in one fingerprint before the join; null ids take part but never name a
-group (a group of null ids alone has a null name); extra columns are ignored.
+group (a group of null ids alone has a null name); rows of one id and different
+texts link as separate documents; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import Scratch, with_index
 
 BITS = 64
 
@@ -191,15 +192,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, seed: int
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the
     smallest doc_id that it reaches by links of at most ``budget`` bits."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
+    return _grouped(docs, width, budget, seed, scratch).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, budget: int, seed: int, scratch: Scratch) -> DataFrame:
+    """``doc_id``, ``fp``, ``component_id`` and ``group``, a number for each group."""
     of = scratch.cut(fingerprints(docs, width, seed), "fingerprints")
-    # a group of null ids alone is numbered by its fingerprint below all ids; it gets a null name
-    fps = of.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    fps = scratch.cut(fps, "distinct")
-    known = fps.where("node is not null")
-    roots = scratch.cut(components(links(known, budget, scratch), scratch), "roots")
-    named = fps.join(roots, fps["node"] == roots["u"], "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    named = scratch.cut(named, "named")
-    return of.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # nodes are numbered by smallest id, those of null ids alone after all others, so a root has its group's smallest id
+    fps = of.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = scratch.cut(with_index(fps, [F.asc_nulls_last("least"), F.col("fp")], scratch, "ordered", "node"), "distinct")
+    roots = scratch.cut(components(links(fps.select("fp", "node"), budget, scratch), scratch), "roots")
+    named = fps.join(roots, fps["node"] == roots["u"], "left").select("fp", F.coalesce("root", "node").alias("group"))
+    named = scratch.cut(named.join(fps.select(F.col("node").alias("group"), F.col("least").alias("component_id")), "group"), "named")
+    return of.join(named, "fp").select("doc_id", "fp", "component_id", "group")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
