@@ -423,6 +423,14 @@ def test_null_ids_link(spark, monkeypatch):
     assert sorted(((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in got), key=str) == sorted([(7, 0, 3), (None, 3, 3), (3, 15, 3), (-5, 31 << 40, -5), (None, 0xFF << 20, None), (None, 0x7F << 20, None)], key=str)
 
 
+def test_one_of_each_of_odd_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(40)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, b), (5, c), (5, d), (4, d), (None, e), (None, e)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a), (1, b), (5, c), (4, d), (None, e)], key=str)
+
+
 def test_large_cells_are_dealt_anew(spark):
     rng = np.random.default_rng(3)
     v = np.full(400, rng.integers(0, 2**63), np.uint64)

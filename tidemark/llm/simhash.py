@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import Scratch, with_index
+from tidemark.llm.shingles import only
 
 BITS = 64
 
@@ -50,14 +51,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed number."""
+    """``doc_id``, ``fp``, the fingerprint as a signed number, and ``th``, a hash of the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], names=["doc_id", "fp", "th"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(rows, "doc_id long, fp long, th long")
 
 
 def trie_pairs(values: np.ndarray, budget: int, chunk: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,7 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, seed: int
 
 
 def _grouped(docs: DataFrame, width: int, budget: int, seed: int, scratch: Scratch) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` and ``group``, a number for each group."""
+    """``doc_id``, ``fp``, ``th``, ``component_id`` and ``group``, a number for each group."""
     of = scratch.cut(fingerprints(docs, width, seed), "fingerprints")
     # nodes are numbered by smallest id, those of null ids alone after all others, so a root has its group's smallest id
     fps = of.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -204,23 +205,14 @@ def _grouped(docs: DataFrame, width: int, budget: int, seed: int, scratch: Scrat
     roots = scratch.cut(components(links(fps.select("fp", "node"), budget, scratch), scratch), "roots")
     named = fps.join(roots, fps["node"] == roots["u"], "left").select("fp", F.coalesce("root", "node").alias("group"))
     named = scratch.cut(named.join(fps.select(F.col("node").alias("group"), F.col("least").alias("component_id")), "group"), "named")
-    return of.join(named, "fp").select("doc_id", "fp", "component_id", "group")
+    return of.join(named, "fp").select("doc_id", "fp", "th", "component_id", "group")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with one row for each group: that of the smallest id, of repeated
-    ids one. Only ids and text hashes are matched; texts move once. A group of
-    null ids alone keeps one row for each fingerprint."""
+    """``docs`` with one row for each group: that of the smallest id, null ids
+    last, and of an id's texts the one of the smallest hash. Only ids and text
+    hashes are matched; texts move once."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    found = near_duplicates(docs, width, budget, seed, scratch)
-    first = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fingerprint")).alias("group")
-    found = found.select("doc_id", "fingerprint", first).groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "fingerprint")).alias("keep"))
-    heads = scratch.cut(found.select(F.col("keep.id").alias("_head")).distinct(), "heads")
-    ided = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    held = ided.join(heads, F.col("_id") == F.col("_head"), "left_semi")
-    names = [c for c in held.columns if c != "_id"]
-    counts = scratch.cut(ided.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias("_twice")), "repeated")
-    single = held.join(counts, F.col("_id") == F.col("_twice"), "left_anti").select(*names)
-    # rows of a repeated id: one for each
-    twice = held.join(counts, F.col("_id") == F.col("_twice"), "left_semi").dropDuplicates(["_id"]).select(*names)
-    return single.unionByName(twice)
+    found = _grouped(docs, width, budget, seed, scratch)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "th")).alias("keep")
+    return only(docs, scratch.cut(found.groupBy("group").agg(first).select("keep.*"), "heads"), scratch)
