@@ -225,6 +225,23 @@ def test_imatch(spark, texts):
     assert one["near_next"] == 1.0 and one["fingerprint"] == imatch.fingerprints(docs(spark, ["only"])).head()["fingerprint"]
 
 
+def test_imatch_lexicon_holds_the_band_alone(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKETS", 6)  # rare and common terms share buckets with those of the band
+    rng = random.Random(3)
+    rows = [" ".join({"the", *(f"band{rng.randrange(40)}" for _ in range(6)), f"rare{i}"}) for i in range(100)]
+    df = {}
+    for t in rows:
+        for w in t.split():
+            df[w] = df.get(w, 0) + 1
+    hashes = imatch.lexicon(docs(spark, rows), 0.05, 0.5)[0]
+    got = sorted(spark.range(1).select(hashes.alias("h")).head()["h"])
+    band = [w for w, n in df.items() if 5 <= n <= 50]
+    want = spark.createDataFrame([(w,) for w in band], "w string").select(F.xxhash64("w").alias("h")).collect()
+    assert band and got == sorted(r["h"] for r in want)
+    kept = docs(spark, rows).select(imatch._terms(F.col("text"), imatch.lexicon(docs(spark, rows), 0.05, 0.5)).alias("t")).collect()
+    assert [len(r["t"]) for r in kept] == [sum(w in band for w in t.split()) for t in rows]
+
+
 # ---- 6 packing
 
 

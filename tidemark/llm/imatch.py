@@ -7,9 +7,10 @@ rates, so that short and long documents alike have some that hold few of their
 terms; the likeness of two fingerprints is the share of equal hashes among the
 subsets at the finest rate that tells enough.
 
-Terms are counted in ``2^20`` hash buckets: the table of what is kept is 128 KiB
-whatever the corpus, a literal of the plan. A bucket's share of
-rare terms stays far below the band.
+Terms are counted in ``2^20`` hash buckets first; in buckets that reach the band's
+lower end each term is then counted by its 64-bit hash and held against the band.
+A document's distinct terms over the lower share bound the lexicon, whatever the
+corpus; it is a literal of the plan.
 
 All of it is built-in expressions. Null text is empty; a document with no term
 in the lexicon takes a hash of its whole text instead; rows follow one another
@@ -20,12 +21,15 @@ empty result.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Scratch, in_total_order
 
 BUCKETS = 20
+LEADING = 16
 #: Subsets at each rate: (taken, out of).
 RATES = ((16, 16), (16, 128), (16, 1024))
 ENOUGH = 6
@@ -41,30 +45,50 @@ def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKETS)
 
 
-def lexicon(docs: DataFrame, low: float, high: float) -> Column:
-    """An array of words: bit ``i`` of word ``w`` tells if bucket ``64 w + i``
-    holds terms of the band. Counts cover all documents."""
+def lexicon(docs: DataFrame, low: float, high: float) -> tuple[Column, Column]:
+    """The sorted hashes of the terms of the band, and for each value of their
+    leading bits the number of hashes before it. Counts cover all documents."""
     n = docs.count()
+    least = max(2.0, low * n)
     buckets = docs.select(F.explode(F.array_distinct(F.transform(_hashes(F.col("text")), _bucket))).alias("b"))
-    kept = buckets.groupBy("b").agg(F.count("*").alias("df")).where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n))
+    kept = buckets.groupBy("b").agg(F.count("*").alias("df")).where(F.col("df") >= least)  # may hold a common term beside
     words = kept.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
     found = dict(words.collect())  # at most 2^14 words, whatever the corpus
-    text = ",".join(str(found.get(w, 0)) for w in range(1 << (BUCKETS - 6)))
-    return F.split(F.lit(text), ",").cast("array<bigint>")  # folded to a literal
+    bits = _literal([found.get(w, 0) for w in range(1 << (BUCKETS - 6))])
+
+    def able(h: Column) -> Column:
+        b = _bucket(h)
+        return F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(63)) == 1
+
+    terms = docs.select(F.explode(F.filter(_hashes(F.col("text")), able)).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    terms = terms.where((F.col("df") >= least) & (F.col("df") <= high * n)).select("h").collect()
+    hashes = sorted((r["h"] for r in terms), key=lambda h: h % (1 << 64))
+    starts = [0] * ((1 << LEADING) + 1)
+    for h in hashes:
+        starts[(h % (1 << 64) >> (64 - LEADING)) + 1] += 1
+    return _literal(hashes), _literal([*accumulate(starts)])
 
 
-def _terms(text: Column, bits: Column) -> Column:
+def _literal(numbers: list[int]) -> Column:
+    if not numbers:
+        return F.array().cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")  # folded to a literal
+
+
+def _terms(text: Column, lexicon: tuple[Column, Column]) -> Column:
+    hashes, starts = lexicon
+
     def kept(h: Column) -> Column:
-        b = _bucket(h)
-        word = F.get(bits, F.shiftright(b, 6).cast("int"))
-        return F.getbit(word, b.bitwiseAND(63)) == 1
+        at = F.shiftrightunsigned(h, 64 - LEADING).cast("int")
+        first = F.get(starts, at).cast("int")
+        return F.array_contains(F.slice(hashes, first + 1, F.get(starts, at + 1).cast("int") - first), h)
 
     return F.sort_array(F.filter(_hashes(text), kept))
 
 
-def fingerprint(text: Column, bits: Column) -> Column:
+def fingerprint(text: Column, lexicon: tuple[Column, Column]) -> Column:
     """48 subset hashes of 8 digits, and one of the whole lexicon of 16."""
-    terms = F.transform(F.array(_terms(text, bits)), lambda t: F.concat(_subsets(t), F.when(F.size(t) > 0, F.lpad(F.hex(F.xxhash64(t)), 16, "0")).otherwise(F.lpad(F.hex(F.xxhash64(text, F.lit(1))), 16, "0"))))
+    terms = F.transform(F.array(_terms(text, lexicon)), lambda t: F.concat(_subsets(t), F.when(F.size(t) > 0, F.lpad(F.hex(F.xxhash64(t)), 16, "0")).otherwise(F.lpad(F.hex(F.xxhash64(text, F.lit(1))), 16, "0"))))
     return F.lower(F.element_at(terms, 1))
 
 
@@ -133,7 +157,7 @@ def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, scratc
     code points replaced by the first as many of the next document."""
     scratch = scratch or Scratch(docs.sparkSession, "imatch")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    bits = lexicon(docs, low, high)
+    held = lexicon(docs, low, high)
     scratch.drop()
     pairs = with_next(docs, scratch)
     n = F.char_length("text")
@@ -141,5 +165,5 @@ def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, scratc
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
     pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     # the next text is fingerprinted again rather than moved with its fingerprint
-    prints = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text"), bits).alias("fingerprint"), fingerprint(F.col("edited"), bits).alias("edited_fingerprint"), fingerprint(F.col("next_text"), bits).alias("next_fingerprint"))
+    prints = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text"), held).alias("fingerprint"), fingerprint(F.col("edited"), held).alias("edited_fingerprint"), fingerprint(F.col("next_text"), held).alias("next_fingerprint"))
     return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
