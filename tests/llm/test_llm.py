@@ -157,6 +157,17 @@ def test_substrings_odd_rows(spark):
     assert substring.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_substrings_of_one_id_keep_their_own_places(spark):
+    passage, clean = " ".join(map(str, range(60))), " ".join(map(str, range(100, 200)))
+    rows = [(1, passage), (5, "a " + passage + " b"), (5, clean), (None, passage), (None, clean + " c"), (None, clean[4:])]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    # the texts of null ids after the first come after 5's
+    want = [(1, 60, 0), (5, 62, 60), (5, 100, 0), (None, 60, 60), (None, 101, 100), (None, 99, 99)]
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    apart = spark.createDataFrame([(1, passage), (None, passage), (None, clean), (None, clean)], "doc_id long, text string")
+    assert sorted((r["n_words"], r["n_removed"]) for r in substring.remove_repeats(apart).collect()) == [(60, 0), (60, 60), (100, 0), (100, 0)]
+
+
 # ---- 4 lines
 
 

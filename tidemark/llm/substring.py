@@ -11,8 +11,9 @@ join to maximal repeats. No two occurrences of a passage are ever paired.
 
 Windows are judged on the input. Null text has no words; documents of fewer
 words than a window stay whole; rows of one doc_id are documents that do not
-remove from one another; rows of a null id count as the largest and don't remove from one another; extra columns
-are ignored; an empty table gives an empty result.
+remove from one another; rows of a null id count as the largest and don't remove from one another. Places
+belong to (id, text hash), so rows of one id and different texts don't share them. Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -100,52 +101,54 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, scratch: Scratch, window: int = 50, seed: int = 26) -> DataFrame:
-    """``doc`` and ``at``: the starts of windows that a smaller document has."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    """``doc``, ``th`` (text hash) and ``at``: the starts of windows that a smaller document has."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text", F.xxhash64("text").alias("th"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [np.unique(anchors(hashed(words_of(t)), window, seed)) for t in part.column(1).to_pylist()]
-                doc = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(doc)], names=["anchor", "doc"])
+                doc, th = (np.repeat(part.column(i).to_numpy(), [len(x) for x in found]) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(doc), pa.array(th)], names=["anchor", "doc", "th"])
 
-    seeded = scratch.cut(texts.mapInArrow(seeds, "anchor long, doc long"), "seeds")
+    seeded = scratch.cut(texts.mapInArrow(seeds, "anchor long, doc long, th long"), "seeds")
     matched = scratch.cut(_shared(seeded, "anchor").select("anchor"), "anchors")
-    by_doc = seeded.join(matched, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    by_doc = scratch.cut(by_doc, "matched").withColumnRenamed("doc", "_doc")
+    by_doc = seeded.join(matched, "anchor").groupBy("doc", "th").agg(F.collect_set("anchor").alias("anchors"))
+    by_doc = scratch.cut(by_doc, "matched")
     scratch.drop("seeds", "anchors")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                keys, docs_, places = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)]
-                for doc, text, known in zip(part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2), strict=True):
+                keys, docs_, ths, places = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
+                for doc, text, th, known in zip(part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_numpy(), part.column(3), strict=True):
                     hashes = hashed(words_of(text))
                     place = np.flatnonzero(np.isin(anchors(hashes, window, seed), known.values.to_numpy())).astype(np.int32)
                     if len(place):
                         keys.append(rolled(hashes, window)[place].view(np.int64))
                         places.append(place)
                         docs_.append(np.full(len(place), doc))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate([np.zeros(0, np.int64), *docs_])), pa.array(np.concatenate(places))], names=["key", "doc", "at"])
+                        ths.append(np.full(len(place), th))
+                doc, th = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (docs_, ths))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), doc, th, pa.array(np.concatenate(places))], names=["key", "doc", "th", "at"])
 
-    laid = texts.join(by_doc, F.col("doc") == F.col("_doc")).select("doc", "text", "anchors")
-    laid = scratch.cut(laid.mapInArrow(extend, "key long, doc long, at int"), "windows")
+    laid = texts.join(by_doc, ["doc", "th"]).select("doc", "text", "th", "anchors")
+    laid = scratch.cut(laid.mapInArrow(extend, "key long, doc long, th long, at int"), "windows")
     scratch.drop("matched")
     earlier = scratch.cut(_shared(laid, "key"), "earlier")
-    return laid.join(earlier, "key").where("doc > least").select("doc", "at")
+    return laid.join(earlier, "key").where("doc > least").select("doc", "th", "at")
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, window: int = 50, seed: int = 26) -> DataFrame:
     """Each document with ``n_words``, ``n_removed``, its kept text and that
     text's SHA-256 (words joined by one space)."""
     scratch = scratch or Scratch(docs.sparkSession, "substring")
-    found = repeats(docs, scratch, window, seed).groupBy("doc").agg(F.collect_set("at").alias("at"))
-    found = scratch.cut(found.withColumnRenamed("doc", "_doc"), "marks")
+    found = repeats(docs, scratch, window, seed).groupBy("doc", "th").agg(F.collect_set("at").alias("at"))
+    found = scratch.cut(found, "marks")
     scratch.drop("windows", "earlier")
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("th"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +159,6 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, window: int
                 if at.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
                     places = at.values.to_numpy()
-                    places = places[places + window <= len(words)]  # rows of one doc_id may be of different lengths
                     edge[places] += 1
                     edge[places + window] -= 1
                     gone = np.cumsum(edge[:-1]) > 0
@@ -168,5 +170,5 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, window: int
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    marked = texts.join(found, F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "at")
+    marked = texts.join(found, ["doc", "th"], "left").select("doc_id", "text", "at")
     return marked.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
