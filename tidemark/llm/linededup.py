@@ -1,19 +1,22 @@
 """Near-duplicate lines: an exact set-similarity join with prefix, length and
 positional filters, all in built-in expressions.
 
-A line is the set of its words. Words are ordered by rarity: by the corpus count
-of one of ``2^14`` hash buckets, then by their 64-bit hash (a total order, which
-is all that exactness asks for; the table of counts is small whatever the
-corpus). Lines of equal sets form a class, found with map-side combining. Classes
-whose Jaccard similarity can reach ``num/den`` share a word among their rarest
-few; of such candidates those stay whose sizes and word positions still allow
-it, and their similarity is then computed from the lines' words.
+A line is the set of its words. Words are ordered by rarity: by the logarithm of
+the corpus count of one of ``2^18`` hash buckets, then by their hash (a total
+order, which is all that exactness asks for; the table of counts is small
+whatever the corpus). Lines of equal sets form a class, found with map-side
+combining. Classes whose Jaccard similarity can reach ``num/den`` share a word
+among their rarest few; of such candidates those stay whose sizes, word positions
+and word parities still allow it, and their similarity is then computed from the
+lines' words.
 
 A line is removed if any earlier line (by doc_id, then place) is similar, judged
 on the input. So each class needs one earlier match, not all: it is first held
-against the earliest class of each of its words, and only classes without a
-match against the others. A group of variants of one line thus costs a pair for
-each, not for every two.
+against the earliest class that shares a least hash of its words, which a member
+of a large group of variants nearly always does, and only classes without a match
+are joined with the others. A group of variants of one line thus costs a pair for
+each, not for every two. The join goes by rounds of words, so that its shuffle
+stays below the input.
 
 Lines without words stay. Null text is empty and stays null; null ids come last;
 rows of one id and equal text count as one document, so neither removes from the
@@ -22,76 +25,81 @@ other; an empty table stays empty; other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Scratch, in_total_order
 
-BUCKETS = 14
+BUCKETS = 18
+_LEVELS = 16  # four bits each, sixteen to a long
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _LAST = (1 << 63) - 1
+#: Rounds of the join, by word: each frees its shuffle before the next.
+ROUNDS = 4
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda w: w != "")
+    """The words of a line, which holds no line feed. Most lines have blanks
+    alone, and a split by one character needs no pattern."""
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.array_remove(F.when(odd, F.split(line, _SPACE)).otherwise(F.split(line, " ")), "")
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKETS).cast("int")
+def _lines(text: str = "text") -> Column:
+    return F.split(text, "\n", -1)
 
 
-def rarity(docs: DataFrame) -> Column:
-    """Each bucket's rank by the number of its words in the corpus, less half the
-    number of buckets: a literal of ``2^14`` numbers."""
-    counts = docs.select(F.explode(F.transform(_words(F.col("text")), lambda w: _bucket(F.xxhash64(w)))).alias("b")).groupBy("b").count()
-    found = dict(counts.collect())  # at most 2^14 rows, whatever the corpus
-    order = sorted(range(1 << BUCKETS), key=lambda b: (found.get(b, 0), b))
-    rank = [0] * len(order)
-    for r, b in enumerate(order):
-        rank[b] = r - (1 << (BUCKETS - 1))
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")  # folded to a literal
+def rarity(docs: DataFrame, scratch: Scratch) -> Column:
+    """The level of each of ``2^18`` hash buckets: the logarithm of the number of
+    its words in the corpus, four bits each, as a literal of ``2^14`` numbers."""
+    words = docs.select(F.explode(_lines()).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKETS).alias("b")).agg(F.count("*").alias("n"))
+    counts = scratch.cut(counts, "counts")  # 2^18 rows at most, whatever the corpus
+    most = counts.agg(F.max("n")).head()[0] or 1
+    level = F.greatest(F.floor(F.log2("n")) - max(0, most.bit_length() - _LEVELS), F.lit(0))
+    packed = F.call_function("shiftleft", level.cast("long"), (F.col("b").bitwiseAND(15) * 4).cast("int"))
+    found = counts.groupBy(F.shiftright("b", 4).cast("int").alias("i")).agg(F.bit_or(packed).alias("levels"))
+    levels = dict(found.collect())  # at most 2^14 rows
+    return F.split(F.lit(",".join(str(levels.get(i, 0)) for i in range(1 << (BUCKETS - 4)))), ",").cast("array<bigint>")  # folded to a literal
 
 
-def codes(line: Column, rank: Column) -> Column:
-    """The line's distinct words as numbers, rarest first. The bucket's bits of a
-    word's hash give way to the bucket's rank, so different hashes stay different."""
-    low = 64 - BUCKETS
+def codes(line: Column, levels: Column) -> Column:
+    """The line's distinct words as numbers, rarest first: the level of a word's
+    bucket before 60 bits of its hash."""
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(rank, _bucket(h)), low).bitwiseOR(h.bitwiseAND((1 << low) - 1))
+    def code(h: Column) -> Column:
+        of = F.get(levels, F.shiftrightunsigned(h, 68 - BUCKETS).cast("int"))
+        shift = (F.shiftrightunsigned(h, 64 - BUCKETS).bitwiseAND(15) * 4).cast("int")
+        level = F.call_function("shiftrightunsigned", of, shift).bitwiseAND(15)
+        return F.shiftleft(level - _LEVELS // 2, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), code))
 
 
-def _sets(docs: DataFrame, places: DataFrame, rank: Column) -> DataFrame:
+def _sets(docs: DataFrame, places: DataFrame, levels: Column) -> DataFrame:
     """The word sets of the lines at ``places`` (id, doc, th, at). Texts meet the
     places of their own lines and are split once more; no other line's words move."""
     wanted = places.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("id", "at")).alias("wanted"))
     texts = docs.withColumn("th", F.xxhash64("text")).join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")))
-    split = F.split("text", "\n", -1)
-    found = F.transform(F.array(split), lambda x: F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), codes(F.get(x, w["at"]), rank).alias("x"))))
-    return texts.select(F.explode(F.element_at(found, 1)).alias("s")).select("s.*").dropDuplicates(["id"])
+    found = F.transform(F.array(_lines()), lambda x: F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get(x, w["at"]).alias("line"))))
+    own = texts.select(F.explode(F.element_at(found, 1)).alias("s")).select("s.id", codes(F.col("s.line"), levels).alias("x"))
+    return own.groupBy("id").agg(F.first("x").alias("x"))  # rows of one id and text have the same lines
 
 
 def _bits(x: Column, half: int) -> Column:
-    """64 of 128 bits, one for each word of the set."""
-    return F.aggregate(x, F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(F.when(h.bitwiseAND(64) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, held: DataFrame, rank: Column, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those ``a`` of ``pairs`` (a, b) that are similar to their ``b``. The bits
-    of two sets differ at most as the sets do, which drops nearly all pairs that
-    aren't before a word of them is fetched."""
-    bits = lambda k: held.selectExpr(f"id as {k}", f"n as n{k}", f"s0 as s0{k}", f"s1 as s1{k}")
-    differ = F.expr("bit_count(s0a ^ s0b) + bit_count(s1a ^ s1b)")
-    near = pairs.distinct().join(bits("a"), "a").join(bits("b"), "b").where(differ * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
-    pairs = scratch.cut(near.select("a", "b"), f"{name}-pairs")
-    scratch.drop()
+    """64 of 128 parities, one of them for each word of the set."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return F.aggregate(x, none, lambda s, h: s.bitwiseXOR(F.when(h.bitwiseAND(64) == 64 * half, F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))).otherwise(none)))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, held: DataFrame, levels: Column, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those ``a`` of ``pairs`` (a, b) that are similar to their ``b``, by the
+    words of both."""
+    pairs = scratch.cut(pairs.distinct(), f"{name}-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = classes.join(needed, "id", "left_semi").select("id", "first.*")
-    sets = scratch.cut(_sets(docs, places, rank), f"{name}-sets")
-    scratch.drop()
+    sets = scratch.cut(_sets(docs, held.select("id", "doc", "th", "at").join(needed, "id", "left_semi"), levels), f"{name}-sets")
     both = pairs.join(sets.selectExpr("id as a", "x as xa"), "a").join(sets.selectExpr("id as b", "x as xb"), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     found = both.where(common * (num + den) >= num * (F.size("xa") + F.size("xb"))).select("a").distinct()
@@ -100,54 +108,73 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, held: DataF
     return found
 
 
-def _possible(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) -> Column:
-    """Length and positional filters for sets of ``n1`` and ``n2`` words with a
-    common word at places ``p1`` and ``p2``."""
-    most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (most * (num + den) >= num * (n1 + n2))
+def _near(num: int, den: int, a: str = "a", b: str = "b") -> Column:
+    """Length filter, and the parities of two sets differ at most as the sets do."""
+    n1, n2 = F.col(f"n{a}"), F.col(f"n{b}")
+    differ = F.bit_count(F.col(f"s0{a}").bitwiseXOR(F.col(f"s0{b}"))) + F.bit_count(F.col(f"s1{a}").bitwiseXOR(F.col(f"s1{b}")))
+    return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (differ * (num + den) <= (n1 + n2) * (den - num))
+
+
+def _positional(num: int, den: int) -> Column:
+    """What two sets can share at most, given a common word at places pa and pb."""
+    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return most * (num + den) >= num * (F.col("na") + F.col("nb"))
+
+
+def _renamed(df: DataFrame, of: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(of if c == "id" else c + of) for c in df.columns if c not in keys])
+
+
+def _likely(held: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a class and the earliest that shares one of its least hashes."""
+    rows = held.select("id", "n", "s0", "s1", F.posexplode("least").alias("k", "h"))
+    low = rows.groupBy("k", "h").agg(F.min(F.struct("id", "n", "s0", "s1")).alias("low"), F.max("id").alias("most")).where(F.col("low.id") < F.col("most"))
+    met = _renamed(rows, "a", "k", "h").join(_renamed(low.select("k", "h", "low.*"), "b", "k", "h"), ["k", "h"])
+    return met.where((F.col("b") < F.col("a")) & _near(num, den)).select("a", "b")
+
+
+def _prefixes(held: DataFrame, part: int) -> DataFrame:
+    rows = held.select("id", "n", "s0", "s1", F.posexplode("prefix").alias("p", "word"))
+    return rows.where(F.pmod("word", F.lit(ROUNDS)) == part)
 
 
 def duplicate_lines(docs: DataFrame, scratch: Scratch, num: int = 4, den: int = 5) -> DataFrame:
     """``doc``, ``th`` (hash of its text) and ``removed``, the places of its lines
     that an earlier line matches."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text").where(F.col("text").isNotNull())
-    rank = rarity(docs)
-    exploded = docs.select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    coded = exploded.select("doc", "th", "at", codes(F.col("line"), rank).alias("x")).where(F.size("x") > 0)
+    levels = rarity(docs, scratch)
+    exploded = docs.select("doc", F.xxhash64("text").alias("th"), F.posexplode(_lines()).alias("at", "line"))
+    coded = exploded.select("doc", "th", "at", codes(F.col("line"), levels).alias("x")).where(F.size("x") > 0)
     n = F.size("x")
-    # prefixes as 32-bit hashes: equal words stay equal, other matches fail the verification
-    prefix = F.transform(F.slice("x", 1, F.floor(n * (den - num) / den).cast("int") + 1), lambda w: F.hash(w))
     able = n * den >= num * (n + 1)  # smaller sets match equal ones alone
-    lines = coded.select("doc", "th", "at", n.alias("n"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"), F.when(able, prefix).alias("prefix"), _bits(F.col("x"), 0).alias("s0"), _bits(F.col("x"), 1).alias("s1"))
+    # prefixes as 32-bit hashes: equal words stay equal, other matches fail the verification
+    prefix = F.transform(F.slice("x", 1, F.floor(n * (den - num) / den).cast("int") + 1), lambda h: F.hash(h))
+    least = F.array(*[F.array_min(F.transform("x", lambda h, j=j: F.hash(h, F.lit(j)))) for j in range(3)])
+    own = {"n": n, "s0": _bits(F.col("x"), 0), "s1": _bits(F.col("x"), 1), "prefix": prefix, "least": least}
+    key, place = ["h1", "h2"], ["doc", "th", "at"]
+    lines = coded.select(*place, F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"), F.when(able, F.struct(*[c.alias(k) for k, c in own.items()])).alias("own"))
     lines = scratch.cut(lines, "lines")
-    scratch.drop()
-    key = ["h1", "h2"]
-    classes = lines.groupBy(*key).agg(F.min(F.struct("doc", "th", "at")).alias("first"))
-    classes = in_total_order(classes, [F.col("first")], scratch, "classes")
-    classes = classes.withColumn("id", F.shiftleft("_pid", 33).bitwiseOR(F.col("_row"))).drop("_pid", "_row")  # grows with the first place
-    scratch.drop()
-    heads = classes.select("id", *[F.col(f"first.{c}").alias(c) for c in ("doc", "th", "at")])
-    held = lines.where("prefix is not null").select("doc", "th", "at", "n", "prefix", "s0", "s1").join(heads, ["doc", "th", "at"]).dropDuplicates(["id"])
-    held = scratch.cut(held.select("id", "n", "prefix", "s0", "s1"), "held")
-    scratch.drop()
-    rows = held.select("id", "n", F.posexplode("prefix").alias("p", "word"))
-    w = Window.partitionBy("word")
-    rows = rows.withColumns({"low": F.min(F.struct("id", "n", "p")).over(w), "most": F.max("id").over(w)}).where(F.col("low.id") < F.col("most"))
-    rows = scratch.cut(rows.select("word", "id", "n", "p", "low"), "prefixes")
-    scratch.drop()
-    first = rows.where(F.col("low.id") < F.col("id")).where(_possible(F.col("n"), F.col("p"), F.col("low.n"), F.col("low.p"), num, den)).select(F.col("id").alias("a"), F.col("low.id").alias("b"))
-    found = _verified(first, docs, classes, held, rank, num, den, scratch, "first")
-    probe = rows.select("word", "id", "n", "p").join(found.withColumnRenamed("a", "_a"), F.col("id") == F.col("_a"), "left_anti")
-    probe = probe.select("word", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"))
-    other = rows.where(F.col("low.id") < F.col("id")).select("word", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-    rest = probe.join(other, "word").where((F.col("b") < F.col("a")) & _possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), num, den)).select("a", "b")
-    found = found.unionByName(_verified(rest, docs, classes, held, rank, num, den, scratch, "rest"))
-    matched = classes.select("id", *key, "first").join(found.withColumn("gone", F.lit(True)), F.col("id") == F.col("a"), "left")
+    classes = lines.groupBy(*key).agg(F.min(F.struct(*place)).alias("first"), F.first("own").alias("own"))  # equal sets have equal own
+    classes = scratch.cut(classes.select(*key, "first.*", "own"), "unordered")
+    held = in_total_order(classes, [F.col(c) for c in place], scratch, "classes")
+    scratch.drop("unordered")
+    held = held.select(*key, *place, "own.*", F.shiftleft("_pid", 33).bitwiseOR(F.col("_row")).alias("id"))  # grows with the first place
+    some = held.where("n is not null")
+    found = _verified(_likely(some, num, den), docs, some, levels, num, den, scratch, "likely")
+    probe = scratch.cut(some.select("id", "n", "s0", "s1", "prefix").join(found.select(F.col("a").alias("id")), "id", "left_anti"), "probe")
+    pairs = None
+    for k in range(ROUNDS):
+        met = _renamed(_prefixes(probe, k), "a", "word").join(_renamed(_prefixes(some, k), "b", "word"), "word")
+        met = met.where((F.col("b") < F.col("a")) & _near(num, den) & _positional(num, den))
+        met = scratch.cut(met.select("a", "b").distinct(), f"round-{k}")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    scratch.drop("probe")
+    found = found.unionByName(_verified(pairs, docs, some, levels, num, den, scratch, "rest"))
+    matched = held.select("id", *key, F.struct(*place).alias("first")).join(found.withColumn("gone", F.lit(True)), F.col("id") == F.col("a"), "left")
     matched = scratch.cut(matched.select(*key, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "matched")
-    scratch.drop("prefixes", "classes", "held")
-    gone = lines.select(*key, "doc", "th", "at").join(matched, key).where("gone or struct(doc, th, at) <> first")
+    gone = lines.select(*key, *place).join(matched, key).where(F.col("gone") | (F.struct(*place) != F.col("first")))
     gone = scratch.cut(gone.groupBy("doc", "th").agg(F.collect_set("at").alias("removed")), "gone")
-    scratch.drop("lines", "matched")
+    scratch.drop("lines", "classes", "matched", "counts", *[f"round-{k}" for k in range(ROUNDS)])
     return gone
 
 
