@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import retrieval, structure, warehouse
 from tidemark.plans import ORACLE_SQL, QUERIES, brief, proxy
 from tidemark.plans.semantic import QueryRejected, QuerySpec, citations, compile_query, describe
-from tidemark.sources import readers
+from tidemark.sources import readers, records
 from tidemark.streaming.upserts import Versioned, run
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +38,8 @@ def test_compiled(facts):
     got = [r["growth_yoy_pct"] for r in compile_query(spec, facts).collect()]
     known = [g for g in got if g is not None]
     assert known == sorted(known) and got[: len(known)] == known
-    assert "growth_yoy_pct" in spec.explain() and len(describe()["metrics"]) == 6 and len(describe()["filters"]) == 12 and len(describe()["dimensions"]) == 11
+    told = {r["kind"]: r["count"] for r in describe(facts.sparkSession).groupBy("kind").count().collect()}
+    assert "growth_yoy_pct" in spec.explain() and told == {"metric": 6, "dimension": 11, "filter": 12}
     docs = facts.select("source_document_id").distinct()
     assert citations(facts, docs, {"grain": "AIRPORT"}).count() == 12
 
@@ -47,7 +48,7 @@ def test_compiled(facts):
 def test_oracle_schema(spark, name):
     """The columns of a query are those of its SQL twin (values: the driver's run)."""
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = [r[0] for r in con.execute(f"DESCRIBE ({ORACLE_SQL[name]})").fetchall()]
     assert sorted(QUERIES[name](spark, SF).columns) == sorted(want)
@@ -80,10 +81,67 @@ def test_upsert_null_keys(spark):
     assert [r["k"] for r in kept.collect()] == [None] and [r["k"] for r in gone.collect()] == ["x"]
 
 
-def test_fuzzy(spark):
-    names = spark.createDataFrame([("BANGALORE", "IN"), ("ZZZ", "IN")], "name string, country string")
-    air = spark.createDataFrame([("BENGALORE", "BLR", "IN"), ("BANGALORE", "XXX", "US")], "name string, iata string, country string")
-    assert [(r["name"], r["iata"]) for r in warehouse.fuzzy(names, air).collect()] == [("BANGALORE", "BLR")]
+def airports(spark, rows):
+    return spark.createDataFrame([(*r, True, i) for i, r in enumerate(rows)], "name string, iata string, icao string, country string, is_international boolean, file_order int")
+
+
+def test_fuzzy_in_the_country(spark):
+    names = spark.createDataFrame([("b", "IN", "XANGALORE FIELD"), ("z", "IN", "ZZZ"), ("n", None, "BANGALORE FIELDS"), ("f", "FR", "BANGALORE FIELDS")], "raw string, country string, name string")
+    air = airports(spark, [("BANGALORE FIELD", "BLR", "VOBL", "IN"), ("XANGALORE FIELDS", "XXX", "X", "US")])
+    got = {r["raw"]: r["iata"] for r in warehouse.fuzzy(names, air).collect()}
+    assert got == {"b": "BLR", "n": "XXX", "f": "XXX"}  # a country without airports is no bar
+
+
+def test_cascade(spark):
+    air = airports(spark, [("GOA", "GOI", "VOGO", "India"), ("GENOA", "GOA", "LIMJ", "Italy"), ("KOCHI", "COK", "VOCI", "India")])
+    facts = spark.createDataFrame([
+        ("AIRLINE", None, None, None, None), ("AIRPORT", "DEL", None, "x", "India"), ("AIRPORT", None, " vogo ", "x", "Italy"),
+        ("AIRPORT", None, None, "Goa", "India"), ("AIRPORT", None, None, "GOA", "Italy"), ("AIRPORT", None, None, "cok", "India"),
+        ("AIRPORT", None, None, "cok", "Italy"), ("AIRPORT", None, None, "", "India"), ("AIRPORT", None, None, None, None), ("AIRPORT", None, "????", "Goa", None),
+    ], "grain string, airport_iata string, airport_icao string, airport_name_raw string, country string")
+    rows = warehouse.reconciled(facts.withColumn("i", F.monotonically_increasing_id()).coalesce(1), air).orderBy("i").collect()
+    got = [(r["airport_iata"], r["resolution_confidence"], r["resolution_method"]) for r in rows]
+    assert got == [
+        (None, 1.0, "airline-grain"), ("DEL", 1.0, "pre-resolved"), ("GOI", 1.0, "icao"), ("GOI", 1.0, "exact-name"), (None, 0.75, "exact-name-country-mismatch"),
+        ("COK", 1.0, "iata"), (None, 0.0, "unresolved"), (None, 0.0, "empty"), (None, 0.0, "empty"), (None, 1.0, "icao"),
+    ]
+
+
+def test_records(spark):
+    import json
+
+    def payload(title, rows, **more):
+        return json.dumps({"index_name": "x", "title": title, "records": rows} | more)
+
+    months = [{"year_month": "2015-16", "cargo": "9"}, {"year_month": "APR", "cargo": "1,000"}, {"year_month": "JAN", "cargo": "2"}, {"year_month": "MAY", "cargo": "NA"}]
+    cases = [
+        payload("Cargo", [{"Airport_Name": "Goa", "Freight_Tonnes": "12", "Year": "2023"}, {"Airport_Name": " ", "Freight_Tonnes": "1", "Year": "2023"}]),
+        payload("Cargo", [{"airport": "Goa", "cargo_kg": "12", "year": "2023"}]),
+        payload("Details of Annual Traffic on Domestic Services of Air Costa from 2007-08", [{"_year": "2007-08", "ton_kms_performed_million___freight": "1", "cargo_carried_ton___total": "5"}]),
+        payload("Cargo by Red Air during 2015", months),
+        payload("Growth of Red Air in 2015", [{"year": "2015", "percentage growth in cargo": "5"}]),
+        payload("Cargo", [{"year": "2015", "cargo": "5"}]),
+        payload("Cargo", []), "{", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, payload string")
+    got = [(r["source_document_id"], r["grain"], r["airport_name_raw"], r["airline"], r["period"], r["direction"], r["tonnage_kg"]) for r in records.parsed(df).orderBy("source_document_id", "rec_no").collect()]
+    assert got == [
+        (0, "AIRPORT", "Goa", None, "2023-A", "TOTAL", 12000.0), (1, "AIRPORT", "Goa", None, "2023-A", "TOTAL", 12.0), (2, "AIRLINE", None, "Air Costa", "2007-FY", "DOMESTIC", 5000.0),
+        (3, "AIRLINE", None, "Red Air", "2015-FY", "TOTAL", 9000.0), (3, "AIRLINE", None, "Red Air", "2015-04", "TOTAL", 1000000.0), (3, "AIRLINE", None, "Red Air", "2016-01", "TOTAL", 2000.0),
+    ]
+    assert [r["reason"] for r in records.mapped(df).orderBy("doc_id").collect()][4:] == ["no mass column", "no carrier", "no records", "no records", "no records"]
+
+
+@pytest.mark.parametrize("name", ["rankings_tonnage", "fact_star_view", "local_robust_z", "concentration_hhi", "carrier_efficiency_pivot", "statistical_anomalies", "brief_movers"])
+def test_line_items_are_scanned_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and plan.count("parquet") and sum(line.count("l_suppkey") > 0 and "Relation" in line for line in plan.splitlines()) <= 1
+
+
+def test_a_month_reaches_the_scan(spark):
+    plan = QUERIES["rankings_tonnage"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "o_orderdate" in line and "PushedFilters" in line)
+    assert "GreaterThanOrEqual(o_orderdate" in scan
 
 
 def test_chunks_against_loop(spark):
@@ -115,8 +173,21 @@ def test_chunks_against_loop(spark):
 
 
 def test_embedding_and_readers(spark, tmp_path):
-    v = retrieval.embed_hashed("delhi freight delhi 123 the")
-    assert abs(sum(x * x for x in v) - 1) < 1e-9 and sum(x != 0 for x in v) == 2
+    from hashlib import blake2b
+    from math import log, sqrt
+
+    said = {0: "delhi freight delhi 123 the", 1: "cargo", 2: "the 12"}
+    vocab = spark.createDataFrame([("delhi", 2.0), ("cargo", 3.0)], "token string, idf double")
+    h = lambda t: int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "big")
+    want = {}
+    for i, bag in {0: {"delhi": (2, 2.0), "freight": (1, retrieval.MAX_IDF)}, 1: {"cargo": (1, 3.0)}}.items():
+        v = {}
+        for w, (tf, idf) in bag.items():
+            v[h(w) % 1024] = v.get(h(w) % 1024, 0) + (1 if h("sign" + w) % 2 else -1) * (1 + log(tf)) * idf
+        norm = sqrt(sum(x * x for x in v.values()))
+        want |= {(i, k): pytest.approx(x / norm) for k, x in v.items()}
+    df = spark.createDataFrame(list(said.items()), "doc_id int, text string")
+    assert {(r["doc_id"], r["place"]): r["x"] for r in retrieval.hashed_vectors(df, vocab).collect()} == want
     (tmp_path / "ledger.jsonl").write_text('{"doc_id": "a", "status": "old"}\n{"doc_id": "a", "status": "new"}\n')
     assert [r["status"] for r in readers.ledger(spark, str(tmp_path / "ledger.jsonl")).collect()] == ["new"]
     (tmp_path / "bulk.csv").write_text('1,"Goa",Goa,India,GOI,VOGO,1,2,3,4,U,Asia\n2,"X",Y,India,\\N,\\N,1,2,3,4,U,Asia\n3,short\n')

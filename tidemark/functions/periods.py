@@ -67,7 +67,7 @@ def _month_number(name: Column) -> Column:
 def month_to_iso(name: Column, year_: Column) -> Column:
     """[N-4] 'April', 2026 to '2026-04'; null for what is no month."""
     n = _month_number(name)
-    return F.when(n.isNotNull(), F.format_string("%04d-%02d", year_, n))
+    return F.when(n.isNotNull() & year_.isNotNull(), F.format_string("%04d-%02d", year_, n))
 
 
 def fiscal_months(label: Column) -> tuple[Column, Column]:
@@ -85,8 +85,8 @@ def header_year(cell: Column) -> Column:
 
 
 def row_period(cell: Column, carried_year: Column) -> Column:
-    """[N-13] The label of a row's period cell. A bare month takes the carried
-    year, January to March the one after; '2007-08' is a fiscal year if the tail
+    """[N-13] The label of a row's period cell. A cell that opens with a month
+    takes the carried year, January to March the one after, and has none without; '2007-08' is a fiscal year if the tail
     is the next year's, else a month if it can be one."""
     raw = F.trim(cell)
     n = _month_number(raw)
@@ -94,11 +94,29 @@ def row_period(cell: Column, carried_year: Column) -> Column:
     dash = r"^(\d{4})[-/](\d{1,2})$"
     y, tail = _int(F.regexp_extract(raw, dash, 1)), _int(F.regexp_extract(raw, dash, 2))
     dashed = F.when(tail == (y + 1) % 100, F.format_string("%d-FY", y)).when(tail.between(1, 12), F.format_string("%d-%02d", y, tail)).otherwise(F.format_string("%d-A", y))
-    words = r"^([A-Za-z]+)[ \-,]+(\d{4})$"
-    named = month_to_iso(F.regexp_extract(raw, words, 1), _int(F.regexp_extract(raw, words, 2)))
     any_year = F.nullif(F.regexp_extract(raw, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
     fallback = F.when(any_year.isNotNull(), F.concat(any_year, F.lit("-A")))
-    return F.when(n.isNotNull() & ~raw.rlike(words), bare).when(raw.rlike(dash), dashed).otherwise(F.coalesce(F.when(raw.rlike(words), named), fallback))
+    return F.when(n.isNotNull(), bare).when(raw.rlike(dash), dashed).otherwise(fallback)
+
+
+def header_period(text: Column) -> Column:
+    """[S-6] The reporting month of a header block: its first month name and first
+    year that stands alone; where two scripts are interleaved, the month after
+    the other script and all blanks are taken out."""
+    head = F.substring(text, 1, 1600)
+    months = "(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)"
+    year_ = F.nullif(F.regexp_extract(head, r"(?<![\d-])(20\d{2})(?![\d-])", 1), F.lit(""))
+    whole = F.regexp_extract(head, rf"(?i)\b{months}\b", 1)
+    compact = F.regexp_extract(F.regexp_replace(F.regexp_replace(head, r"\p{InDevanagari}", ""), r"\s+", ""), f"(?i){months}", 1)
+    return month_to_iso(F.coalesce(F.nullif(whole, F.lit("")), F.nullif(compact, F.lit(""))), _int(year_))
+
+
+def filename_period(url: Column) -> Column:
+    """[S-20] 'April2k26Annex4.pdf' and 'Apr2026.pdf' to '2026-04': a hint only."""
+    name = F.regexp_extract(url, r"([^/]*)$", 1)
+    found = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*2?k?(\d{2,4})"
+    y = F.regexp_extract(name, found, 2)
+    return month_to_iso(F.regexp_extract(name, found, 1), F.when(F.length(y) == 4, _int(y)).otherwise(2000 + _int(y)))
 
 
 def title_year(title: Column) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import periods
 from tidemark.operators import series as S
 
 MIN_CYCLES = 5
@@ -158,20 +159,21 @@ def detect(series: DataFrame) -> DataFrame:
 def arima_forecasts(series: DataFrame, horizon: int = 3) -> DataFrame:
     """[W-19, W-20] ARIMA forecasts of series where its backtest error beats all
     simple candidates' and is at most 35 %."""
-    out = "grain string, entity_key string, direction string, measure string, horizon int, predicted_kg double, lower_kg double, upper_kg double, mape double"
+    out = "grain string, entity_key string, direction string, measure string, horizon int, predicted_kg double, lower_kg double, upper_kg double, mape double, interval_hits int, interval_folds int"
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sort_key")
         y, yearly = pdf["tonnage_kg"].to_numpy(), str(pdf["period"].iloc[0])[-1] in "YA"
         season = 1 if yearly else 12
-        none = pd.DataFrame(columns=["grain", "entity_key", "direction", "measure", "horizon", "predicted_kg", "lower_kg", "upper_kg", "mape"])
+        none = pd.DataFrame(columns=["grain", "entity_key", "direction", "measure", "horizon", "predicted_kg", "lower_kg", "upper_kg", "mape", "interval_hits", "interval_folds"])
         if len(y) < max(season + 2, 6) + S.FOLDS:
             return none
-        errors = []
+        errors, hits = [], 0
         for k in range(S.FOLDS, 0, -1):
             fit = arima(y[:-k], season, 1)
             if fit is None:
                 return none
+            hits += int(max(0.0, fit[1][0]) <= y[-k] <= fit[2][0])
             if y[-k] != 0:
                 errors.append(abs((y[-k] - fit[0][0]) / y[-k]))
         mape = round(float(np.mean(errors)) * 100, 2) if errors else np.inf
@@ -179,8 +181,18 @@ def arima_forecasts(series: DataFrame, horizon: int = 3) -> DataFrame:
         if fit is None:
             return none
         m, lo, hi = (np.maximum(x, 0).round(3) for x in fit)
-        return pd.DataFrame({**dict(zip(S.KEYS, key, strict=True)), "horizon": range(1, horizon + 1), "predicted_kg": m, "lower_kg": lo, "upper_kg": hi, "mape": mape})
+        return pd.DataFrame({**dict(zip(S.KEYS, key, strict=True)), "horizon": range(1, horizon + 1), "predicted_kg": m, "lower_kg": lo, "upper_kg": hi, "mape": mape, "interval_hits": hits, "interval_folds": S.FOLDS})
 
     fitted = series.select(*S.KEYS, "period", "sort_key", "tonnage_kg").groupBy(*S.KEYS).applyInPandas(run, out)
     simple = S.winners(series).select(*S.KEYS, F.col("mape").alias("_simple"))
     return fitted.join(simple, S.KEYS, "left").where("_simple is null or mape < _simple").drop("_simple")
+
+
+def published(series: DataFrame, horizon: int = 3) -> DataFrame:
+    """[W-21] Forecasts by the best of five candidates: ARIMA where its error is
+    the least, else the best simple one."""
+    best = arima_forecasts(series, horizon)
+    last = series.groupBy(*S.KEYS).agg(F.max_by("period", "sort_key").alias("_last"))
+    own = best.join(last, S.KEYS).select(*S.KEYS, periods.next_label(F.col("_last"), F.col("horizon")).alias("period"), "horizon", "predicted_kg", "lower_kg", "upper_kg", F.lit("sarima").alias("model"), F.col("mape").alias("backtest_mape"), F.col("interval_hits").cast("int"), F.col("interval_folds").cast("int"))
+    simple = S.forecasts(series, horizon).join(best.select(*S.KEYS).distinct(), S.KEYS, "left_anti")
+    return simple.unionByName(own)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,39 +69,32 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return df.where(F.length("token") <= 64).join(F.broadcast(n)).select("token", "df", idf.alias("idf"))  # n: one row
 
 
+def places(vocab: DataFrame, dims: int = 1024) -> DataFrame:
+    """[R-9] Each distinct ``token`` with its place and sign, from BLAKE2b of eight
+    bytes, which Spark hasn't: hashed once a word, not once an occurrence."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            place, sign = (np.array([blake2b((salt + w).encode(), digest_size=8).digest() for w in words], "S8") for salt in ("", "sign"))
+            place, sign = (np.frombuffer(x.tobytes(), ">u8") if len(x) else np.zeros(0, ">u8") for x in (place, sign))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((place % dims).astype(np.int32)), pa.array(np.where(sign % 2 == 1, 1.0, -1.0))], names=["token", "place", "sign"])
+
+    return vocab.select("token").mapInArrow(each, "token string, place int, sign double")
+
+
 def hashed_vectors(docs: DataFrame, vocab: DataFrame, dims: int = 1024) -> DataFrame:
     """[R-9] Signed hashed TF-IDF vectors of unit length, sparse: one row for each
-    document and filled place. Places by xxHash64 of the token, signs of another."""
+    document and filled place. Words that ``vocab`` lacks weigh the most."""
     tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    w = tf.join(vocab.select("token", "idf"), "token", "left").withColumn("w", (1 + F.ln("tf")) * F.coalesce("idf", F.lit(MAX_IDF)))
-    sign = F.when(F.pmod(F.xxhash64(F.lit("sign"), "token"), F.lit(2)) == 1, 1.0).otherwise(-1.0)
-    v = w.groupBy("doc_id", F.pmod(F.xxhash64("token"), F.lit(dims)).cast("int").alias("place")).agg(F.sum(sign * F.col("w")).alias("x"))
+    at = places(tf.select("token").distinct(), dims)
+    w = tf.join(at, "token").join(vocab.select("token", "idf"), "token", "left")
+    w = w.withColumn("w", F.col("sign") * (1 + F.ln("tf")) * F.coalesce("idf", F.lit(MAX_IDF)))
+    v = w.groupBy("doc_id", "place").agg(F.sum("w").alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
     return v.withColumn("x", F.try_divide("x", norm)).where("x <> 0")
 
 
-def embed_hashed(text: str, dims: int = 1024, idf: dict[str, float] | None = None) -> list[float]:
-    """[R-9] The exact BLAKE2b form of one text, for a driver-side query."""
-    import hashlib
-    import re
-
-    from tidemark.functions.cells import STOP_WORDS
-
-    def h(t: str) -> int:
-        return int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
-
-    counts: dict[str, int] = {}
-    for t in re.findall("[a-z0-9]+", text.lower()):
-        if len(t) > 2 and t not in STOP_WORDS and not t.isdigit():
-            counts[t] = counts.get(t, 0) + 1
-    v = [0.0] * dims
-    for t, n in counts.items():
-        weight = (1 + math.log(n)) * (1.0 if idf is None else idf.get(t, MAX_IDF))
-        v[h(t) % dims] += weight if h("sign" + t) & 1 else -weight
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else v
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

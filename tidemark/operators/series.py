@@ -247,3 +247,40 @@ def eligible(series: DataFrame) -> DataFrame:
     newest = Window.partitionBy(*KEYS).orderBy(F.desc("sort_key"))
     ranked = series.withColumn("rn", F.row_number().over(newest))
     return ranked.groupBy(*KEYS).agg(F.count("*").alias("points"), F.sum(F.when(F.col("rn") <= 3, F.col("tonnage_kg")).otherwise(0.0)).alias("recent_kg")).where("points >= 8 and recent_kg > 0")
+
+
+# ---- labels
+
+
+def rule_labels(series: DataFrame, broken: DataFrame, human: DataFrame) -> DataFrame:
+    """[W-25] Labels that need no judgement: GENUINE where a service starts or
+    stops, SPURIOUS where the published parts of a period (``broken``: entity_key,
+    period) don't sum, among points with a full window on both sides. Keys that a
+    person has labelled (``human``) are left alone."""
+    key = ["grain", "entity_key", "direction", "period"]
+    near = lambda a, b: F.count("*").over(ordered().rowsBetween(a, b))
+    full = series.withColumns({"_b": near(-3, -1), "_a": near(1, 3)}).where("_b = 3 and _a = 3")
+    moved = structural(series).select(*key, F.lit("GENUINE").alias("label"), F.col("method").alias("basis"))
+    odd = full.join(broken.select("entity_key", "period").distinct(), ["entity_key", "period"], "left_semi").join(moved, key, "left_anti")
+    found = moved.unionByName(odd.select(*key, F.lit("SPURIOUS").alias("label"), F.lit("parts do not sum").alias("basis")))
+    return found.join(human.select(*key), key, "left_anti").groupBy(*key).agg(F.min("label").alias("label"), F.min("basis").alias("basis"))
+
+
+def pending(alerts: DataFrame, labels: DataFrame, most: int = 40) -> DataFrame:
+    """[G-13, J-13] Alerts that no label of their direction judges, largest first."""
+    key = ["grain", "entity_key", "direction", "period"]
+    left = alerts.join(labels.select(*key), key, "left_anti")
+    return left.orderBy(F.col("observed_kg").desc_nulls_last(), *key, "measure").limit(most)
+
+
+def judged(labels: DataFrame, alerts: DataFrame, material: Column) -> DataFrame:
+    """[A-15, A-24, J-18] The detector against labels: one row of counts,
+    precision, recall of all events and of the material ones. Directions of an
+    event are one, genuine if any is."""
+    key = ["grain", "entity_key", "period"]
+    one = labels.groupBy(*key).agg(F.bool_or(F.col("label") == "GENUINE").alias("genuine"), F.bool_or(material).alias("material"))
+    both = one.join(alerts.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    g, h, m = F.col("genuine"), F.col("hit"), F.col("material")
+    counts = both.agg(F.count_if(g & h).alias("tp"), F.count_if(~g & h).alias("fp"), F.count_if(g & ~h).alias("fn"), F.count_if(g & m & h).alias("tpm"), F.count_if(g & m).alias("gm"))
+    share = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return counts.select("tp", "fp", "fn", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision_"), share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall_"), share(F.col("tpm"), F.col("gm")).alias("recall_material"))

@@ -33,6 +33,19 @@ def wants_growth(question: Column) -> Column:
     return F.lower(question).rlike(r"\b(grow|growth|grew|fastest|increase|rising)\b")
 
 
+def asked_code(question: str, known: DataFrame) -> str | None:
+    """[G-2] The first word of a question that is a code of the data (``entity_key``)."""
+    words = [w.strip("?.,!").upper() for w in question.split()]
+    held = {r[0] for r in known.where(F.col("entity_key").isin(*words)).select("entity_key").distinct().collect()}  # of the words
+    return next((w for w in words if w in held), None)
+
+
+def runs(steps: DataFrame) -> DataFrame:
+    """[A-10, P-13] One row for each run: its agent, steps, time, use and policy."""
+    g = steps.groupBy("run_id").agg(F.count("*").alias("steps"), F.bool_and("ok").alias("succeeded"), F.sum("elapsed_ms").alias("ms"), F.min_by("tool", "seq").alias("agent"), F.sum("tokens").alias("tokens") if "tokens" in steps.columns else F.lit(0).alias("tokens"))
+    return g.join(effective_policy(steps).drop("failed_steps"), "run_id")
+
+
 def tool_stats(steps: DataFrame) -> DataFrame:
     """[A-8]"""
     return steps.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if("ok").alias("ok_calls"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.avg("elapsed_ms"), 6).alias("avg_ms"), F.max("elapsed_ms").alias("max_ms"), F.countDistinct("run_id").alias("runs"))
@@ -56,11 +69,12 @@ def sessions(steps: DataFrame, start: str) -> DataFrame:
 
 
 def spinning(steps: DataFrame) -> DataFrame:
-    """[W-28] A tool that failed twice running with the same words."""
-    w = Window.partitionBy("run_id", "tool").orderBy("seq")
+    """[W-28] Calls that failed as the same call (tool and arguments) of their run
+    last failed, by the first 120 characters of what was observed."""
+    w = Window.partitionBy("run_id", "tool", "args").orderBy("seq")
     words = F.left("observation", F.lit(120))
-    s = steps.withColumns({"_o": F.lag(words).over(w), "_ok": F.lag("ok").over(w)})
-    return s.where(~F.col("ok") & ~F.col("_ok") & (F.col("_o") == words)).drop("_o", "_ok")
+    failed = steps.where(~F.col("ok")).withColumn("_o", F.lag(words).over(w))
+    return failed.where(F.col("_o") == words).drop("_o")
 
 
 def arms(steps: DataFrame) -> DataFrame:

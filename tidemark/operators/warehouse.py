@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import cells
+
 NATURAL_KEY = ["grain", "period", "airport_iata", "airline_name", "direction", "publisher", "measure"]
 
 
@@ -44,35 +46,87 @@ def collisions(facts: DataFrame) -> DataFrame:
     return found.where("rows > 1 or names > 1")
 
 
-def resolve(names: DataFrame, airports: DataFrame) -> DataFrame:
-    """[N-8, N-9, N-25] ``names`` (raw, variants, country) to codes by the first
-    variant that is known; among equal names the primary airport. Distinct names
-    are resolved, not rows; the crosswalk's share of a name is one row."""
+FLOOR = 0.86
+
+
+def _primary(airports: DataFrame, key: str) -> DataFrame:
+    """[N-8] Of the airports that share a key the one with a code and
+    international; curated aliases before all."""
     primacy = F.when(F.col("iata").isNotNull(), 2).otherwise(0) + F.col("is_international").cast("int")
-    w = Window.partitionBy("name").orderBy(primacy.desc(), "file_order")
-    known = airports.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("name", "iata", F.col("country").alias("at_country"))
-    tried = names.distinct().select("raw", "country", F.posexplode("variants").alias("pos", "name"))
-    hits = tried.join(known, "name").groupBy("raw", "country").agg(F.min_by(F.struct("iata", "at_country"), "pos").alias("hit"))
-    score = F.when(F.col("hit").isNull(), 0.0).when(F.col("country").isNotNull() & (F.col("hit.at_country") != F.col("country")), 0.75).otherwise(1.0)
-    out = names.select("raw", "country").distinct().join(hits.withColumnsRenamed({"raw": "_raw", "country": "_c"}), F.col("raw").eqNullSafe(F.col("_raw")) & F.col("country").eqNullSafe(F.col("_c")), "left")
-    return out.select("raw", "country", F.col("hit.iata").alias("iata"), score.alias("confidence"))
-
-
-def fuzzy(names: DataFrame, airports: DataFrame, floor: float = 0.86) -> DataFrame:
-    """[N-9] The most similar name of the same country and first letter, by the
-    matching-blocks ratio; for the few names that the exact cascade left."""
+    curated = F.col("curated") if "curated" in airports.columns else F.lit(False)
+    w = Window.partitionBy(key).orderBy(curated.desc(), primacy.desc(), "file_order")
+    kept = airports.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return kept.select(F.upper(key).alias("key"), F.struct("iata", F.upper("country").alias("country"), "name").alias("at"))
+
+
+def resolve(names: DataFrame, airports: DataFrame) -> DataFrame:
+    """[N-9, N-25] Distinct ``names`` (raw, variants, country) to codes, step by
+    step: a variant's exact name (0.75 where the countries differ); a bare code
+    of three letters that isn't of another country; the most similar name of the
+    country's airports (of all, where it has none) from ``FLOOR`` on."""
+    asked = names.groupBy("raw", "country").agg(F.first("variants").alias("variants")).select("raw", "country", F.upper("country").alias("hint"), "variants")
+    tried = asked.select("raw", "country", "hint", F.posexplode("variants").alias("pos", "key"))
+    foreign = F.coalesce(F.col("at.country") != F.col("hint"), F.col("hint").isNotNull())
+    method = F.when(foreign, "exact-name-country-mismatch").when(F.col("pos") == 0, "exact-name").otherwise("exact-variant")
+    exact = tried.join(_primary(airports, "name"), "key").select("raw", "country", F.struct(F.lit(0).alias("step"), "pos", F.col("at.iata").alias("iata"), F.when(foreign, 0.75).otherwise(1.0).alias("confidence"), method.alias("method")).alias("hit"))
+    codes = tried.where(F.length("key") == 3).join(_primary(airports, "iata"), "key").where(~foreign)
+    codes = codes.select("raw", "country", F.struct(F.lit(1).alias("step"), "pos", F.col("at.iata").alias("iata"), F.lit(1.0).alias("confidence"), F.lit("iata").alias("method")).alias("hit"))
+    known = exact.unionByName(codes).groupBy("raw", "country").agg(F.min("hit").alias("hit"))
+    known = known.select("raw", "country", "hit.iata", "hit.confidence", "hit.method")
+    left = asked.join(known.select(F.col("raw").alias("_raw"), F.col("country").alias("_country")), F.col("raw").eqNullSafe(F.col("_raw")) & F.col("country").eqNullSafe(F.col("_country")), "left_anti")
+    close = fuzzy(left.select("raw", "country", F.get("variants", F.lit(0)).alias("name")).where("name is not null"), airports)
+    close = close.select("raw", "country", "iata", F.lit(FLOOR).alias("confidence"), F.lit("fuzzy").alias("method"))
+    none = left.select("raw", "country", F.lit(None).cast("string").alias("iata"), F.lit(0.0).alias("confidence"), F.when(F.size("variants") > 0, "unresolved").otherwise("empty").alias("method"))
+    rest = none.unionByName(close).groupBy("raw", "country").agg(F.max_by(F.struct("iata", "confidence", "method"), "confidence").alias("x")).select("raw", "country", "x.*")
+    return known.unionByName(rest)
+
+
+def fuzzy(names: DataFrame, airports: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """[N-9] The most similar name among the country's airports, by the share of
+    letters in matching blocks; of the few names that the exact steps left. Only
+    pairs whose lengths and letters allow the share are measured."""
     from difflib import SequenceMatcher
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    key = [F.col("country"), F.substring("name", 1, 1)]
-    a = names.select("name", "country", F.concat_ws("|", *key).alias("_k"))
-    b = airports.select(F.col("name").alias("match"), "iata", F.concat_ws("|", *key).alias("_k"))
-    scored = a.join(b, "_k").withColumn("confidence", similarity("name", "match")).where(F.col("confidence") >= floor)
-    w = Window.partitionBy("name", "country").orderBy(F.desc("confidence"), "match")
-    return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("name", "country", "iata", "match", "confidence")
+        out = []
+        for x, y in zip(a, b, strict=True):
+            m = SequenceMatcher(None, y, x)
+            out.append(m.ratio() if m.quick_ratio() >= floor else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    pool = _primary(airports, "name").select(F.col("key").alias("match"), "at.iata", F.col("at.country").alias("home"))
+    own = names.withColumn("hint", F.upper("country"))
+    here = own.join(pool.select("home").distinct(), F.col("hint") == F.col("home"), "left").withColumn("hint", F.col("home")).drop("home")  # null: any country
+    fits = 2 * F.least(F.length("name"), F.length("match")) >= floor * (F.length("name") + F.length("match"))
+    inside = here.where("hint is not null").join(pool, (F.col("hint") == F.col("home")) & fits)
+    sizes = F.explode(F.sequence(F.ceil(F.length("name") * floor / (2 - floor)).cast("int"), F.floor(F.length("name") * (2 - floor) / floor).cast("int")))
+    outside = here.where("hint is null").withColumn("_n", sizes).join(pool.withColumn("_n", F.length("match")), "_n").drop("_n")
+    scored = inside.unionByName(outside).withColumn("confidence", similarity("name", "match")).where(F.col("confidence") >= floor)
+    best = scored.groupBy("raw", "country").agg(F.max_by(F.struct("iata", "match"), F.struct("confidence", "match")).alias("x"), F.max("confidence").alias("similarity"))
+    return best.select("raw", "country", "x.iata", "x.match", "similarity")
+
+
+def reconciled(facts: DataFrame, airports: DataFrame) -> DataFrame:
+    """[N-10, N-25] Facts (grain, airport_iata, airport_icao, airport_name_raw,
+    country) with the code, the confidence and how it was found: carriers have no
+    airport, given codes stand, ICAO codes are looked up, names go through the cascade."""
+    icao = _primary(airports.withColumnRenamed("icao", "_icao"), "_icao").select(F.col("key").alias("_code"), F.col("at.iata").alias("_by_icao"))
+    left = (F.col("grain") != "AIRLINE") & F.col("airport_iata").isNull() & F.col("airport_icao").isNull()
+    names = facts.where(left).select(F.col("airport_name_raw").alias("raw"), "country").distinct().withColumn("variants", cells.name_variants(F.col("raw")))
+    found = resolve(names, airports).select(F.col("raw").alias("_raw"), F.col("country").alias("_country"), F.col("iata").alias("_iata"), F.col("confidence").alias("_confidence"), F.col("method").alias("_method"))
+    told = F.when(left, F.col("airport_name_raw"))
+    out = facts.join(icao, F.upper(F.trim("airport_icao")) == F.col("_code"), "left").join(found, told.eqNullSafe(F.col("_raw")) & F.col("country").eqNullSafe(F.col("_country")) & left, "left")
+    sure = F.col("_confidence") >= FLOOR
+    code = F.coalesce("airport_iata", F.when(F.col("grain") != "AIRLINE", F.coalesce("_by_icao", F.when(sure, F.col("_iata")))))
+    method = F.when(F.col("grain") == "AIRLINE", "airline-grain").when(F.col("airport_iata").isNotNull(), "pre-resolved").when(F.col("airport_icao").isNotNull(), "icao").otherwise(F.coalesce("_method", F.lit("empty")))
+    score = F.when(left, F.coalesce("_confidence", F.lit(0.0))).otherwise(1.0)
+    return out.select(*[c for c in facts.columns if c != "airport_iata"], code.alias("airport_iata"), score.alias("resolution_confidence"), method.alias("resolution_method"))
+
+
+def review_names(judged: DataFrame) -> DataFrame:
+    """[N-28] The distinct names of quarantined rows, in order."""
+    return judged.where("airport_name_raw is not null").groupBy("airport_name_raw").agg(F.count("*").alias("rows")).orderBy("airport_name_raw")
 
 
 def split_valid(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,3 +146,15 @@ def extraction_score(rows: DataFrame, by: list[str]) -> DataFrame:
     g = rows.groupBy(*by).agg(F.sum("kept").alias("k"), F.sum("seen").alias("s"), F.sum("resolved").alias("r"), F.sum("warnings").alias("w"))
     raw = 0.6 * F.coalesce(F.try_divide("k", "s"), F.lit(0.0)) + 0.4 * F.coalesce(F.try_divide("r", "k"), F.lit(0.0)) - F.least(F.lit(0.3), 0.05 * F.col("w"))
     return g.select(*by, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3).alias("score"))
+
+
+def dimension(rows: DataFrame, keys: list[str], first: list[str], last: list[str], order: str) -> DataFrame:
+    """[P-1] One row for each entity: ``first`` columns from its earliest row,
+    ``last`` columns from its latest."""
+    picks = [F.min_by(c, order).alias(c) for c in first] + [F.max_by(c, order).alias(c) for c in last]
+    return rows.groupBy(*keys).agg(*picks, F.count("*").alias("rows_"))
+
+
+def traffic(rows: DataFrame, keys: list[str], value: str, document: str) -> DataFrame:
+    """[P-5] Rows with a code summed by key, with the documents behind them."""
+    return rows.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.sum(value).alias("value"), F.countDistinct(document).alias("documents"))

@@ -20,14 +20,14 @@ _MONTHLY = {"grain": "AIRPORT", "direction": "TOTAL", "period": "2001-07"}
   FROM fact WHERE grain = 'AIRPORT' AND direction = 'TOTAL' AND period = '2001-07' GROUP BY ALL ORDER BY tonnage_mt DESC, 1, 2 LIMIT 20""")
 def rankings_tonnage(spark, d):
     """[A-1, L-1, F-1 to F-3]"""
-    return compile_query(QuerySpec(["tonnage_mt", "growth_yoy_pct"], ["airport_iata", "airport_name"], _MONTHLY, "tonnage_mt", True, 20), proxy.facts(spark, d))
+    return compile_query(QuerySpec(["tonnage_mt", "growth_yoy_pct"], ["airport_iata", "airport_name"], _MONTHLY, "tonnage_mt", True, 20), proxy.facts(spark, d, _MONTHLY["period"]))
 
 
 @query("rankings_growth_floor", f"""WITH {proxy.FACT} SELECT airport_iata, CASE WHEN sum(prior_year_tonnage_kg) > 0 THEN (sum(tonnage_kg) - sum(prior_year_tonnage_kg)) / sum(prior_year_tonnage_kg) * 100.0 END AS growth_yoy_pct, count(*) AS record_count
   FROM fact WHERE grain = 'AIRPORT' AND direction = 'TOTAL' AND period = '2001-07' AND tonnage_kg >= 100000 GROUP BY ALL ORDER BY growth_yoy_pct DESC NULLS LAST, 1 LIMIT 20""")
 def rankings_growth_floor(spark, d):
     """[F-8, L-1] The floor is on rows."""
-    return compile_query(QuerySpec(["growth_yoy_pct", "record_count"], ["airport_iata"], {**_MONTHLY, "min_tonnage_kg": 100_000}, "growth_yoy_pct", True, 20), proxy.facts(spark, d))
+    return compile_query(QuerySpec(["growth_yoy_pct", "record_count"], ["airport_iata"], {**_MONTHLY, "min_tonnage_kg": 100_000}, "growth_yoy_pct", True, 20), proxy.facts(spark, d, _MONTHLY["period"]))
 
 
 @query("entity_trend_series", f"""WITH {proxy.FACT} SELECT period, sum(tonnage_kg) AS tonnage_kg, count(DISTINCT source_document_id) AS source_count FROM fact WHERE grain = 'AIRPORT' AND direction = 'TOTAL' AND airport_iata = 'N07'
@@ -35,7 +35,7 @@ def rankings_growth_floor(spark, d):
 def entity_trend_series(spark, d):
     """[F-3 period_from, A-7] One airport's history, ascending by label. The scalar
     of ``period_from`` is taken over the whole view."""
-    facts = proxy.facts(spark, d)
+    facts = proxy.kept(proxy.facts(spark, d))
     return compile_query(QuerySpec(["tonnage_kg", "source_count"], ["period"], {"period_from": "1998-01", "grain": "AIRPORT", "direction": "TOTAL", "airport_iata": "N07"}, "period", False, 60), facts)
 
 
@@ -84,7 +84,7 @@ def source_fact_counts(spark, d):
 def citations_semijoin(spark, d):
     """[J-11, G-11]"""
     docs = proxy.table(spark, d, "orders").select(F.col("o_orderkey").alias("source_document_id"), F.col("o_orderstatus").alias("status"))
-    return citations(proxy.facts(spark, d), docs, _MONTHLY)
+    return citations(proxy.facts(spark, d, _MONTHLY["period"]), docs, _MONTHLY)
 
 
 _LABELS = """labels_ AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m') WHEN 1 THEN strftime(o_orderdate, '%Y') || '-FY' WHEN 2 THEN strftime(o_orderdate, '%Y') || '-A' ELSE 'unknown' END AS period FROM orders)"""
@@ -127,7 +127,7 @@ _TREND = f"""{proxy.SERIES}, totals AS (SELECT period, direction, sum(tonnage_kg
   CASE WHEN i >= 1 AND v0 > 0 THEN round((pow(tonnage_kg / v0, 1.0 / i) - 1) * 100, 2) END AS cagr_pct, round(tonnage_kg / total_kg * 100, 3) AS share_of_total, CASE WHEN round(round(tonnage_kg / total_kg * 100, 3) - share12, 3) = 0 THEN 0.0 ELSE round(round(tonnage_kg / total_kg * 100, 3) - share12, 3) END AS share_shift_pp FROM t""")
 def trend_growth_share(spark, d):
     """[W-2 to W-7]"""
-    facts = proxy.series_facts(spark, d)
+    facts = proxy.kept(proxy.series_facts(spark, d))
     return series.trend(series.build(facts), series.national_totals(facts))
 
 
@@ -226,7 +226,7 @@ def rolling_backtest_mape(spark, d):
     round(pt + 1.7 * greatest(abs(pt) * mape / 100, abs(pt) * 0.02), 3) AS upper_kg, model, mape AS backtest_mape, interval_hits, interval_folds FROM p""")
 def forecast_published(spark, d):
     """[W-21 to W-24]"""
-    return series.forecasts(series.build(proxy.series_facts(spark, d)))
+    return series.forecasts(proxy.kept(series.build(proxy.series_facts(spark, d))))
 
 
 @query("interval_coverage", f"WITH {_TEST} SELECT count(*) AS series, round(median(mape), 4) AS median_mape, sum(interval_hits) AS hits, sum(interval_folds) AS folds, round(100.0 * sum(interval_hits) / sum(interval_folds), 4) AS coverage_pct FROM best")
@@ -250,6 +250,7 @@ _RECENT = "(SELECT period FROM (SELECT DISTINCT period FROM fact WHERE regexp_ma
 def concentration_hhi(spark, d):
     """[A-16, L-6, J-15, F-6]"""
     f = proxy.facts(spark, d).where("grain = 'AIRPORT' and direction = 'TOTAL' and period < '2001-08'").where(F.col("period").rlike(r"^\d{4}-\d{2}$"))
+    f = proxy.kept(f.select("period", "airport_iata", "tonnage_kg"))
     e = f.groupBy("period", "airport_iata").agg(F.sum("tonnage_kg").alias("v"))
     recent = f.select("period").distinct().orderBy(F.desc("period")).limit(12)
     return structure.concentration(e.join(recent, "period", "left_semi"), ["period"], "v")
@@ -263,7 +264,7 @@ _ATTR = """{fact}, n AS (SELECT airport_iata AS entity_key, sum(tonnage_kg) / 10
   FROM j WHERE now_mt <> then_mt ORDER BY abs(now_mt - then_mt) DESC, entity_key LIMIT 12""")
 def growth_attribution(spark, d):
     """[A-19, J-17, L-7, U-2]"""
-    f = proxy.facts(spark, d).where("grain = 'AIRPORT' and direction = 'TOTAL'")
+    f = proxy.kept(proxy.facts(spark, d, "2001-07").where("grain = 'AIRPORT' and direction = 'TOTAL'"))
     at = lambda p: f.where(F.col("period") == p).groupBy(F.col("airport_iata").alias("entity_key")).agg((F.sum("tonnage_kg") / 1000).alias("mt"))
     out = structure.attribution(at("2001-07"), at("2000-07"))
     return out.withColumns({c: F.round(c, 8) for c in ("contribution_pp", "share_of_change_pct")})
@@ -277,14 +278,14 @@ _EFF_COLS = "grain, entity_key, period, sort_key, direction, freight_tonnes, dep
 @query("carrier_efficiency_pivot", f"WITH {_EFF} SELECT {_EFF_COLS} FROM eff")
 def carrier_efficiency_pivot(spark, d):
     """[A-4, A-5, J-9]"""
-    return structure.carrier_efficiency(proxy.metrics(spark, d).where("grain = 'AIRLINE'")).select(*_EFF_COLS.split(", "))
+    return structure.carrier_efficiency(proxy.metrics(spark, d, "AIRLINE")).select(*_EFF_COLS.split(", "))
 
 
 @query("belly_dependency", f"""WITH {_EFF} SELECT entity_key, count(*) AS months, CASE WHEN NOT bool_or(pax_carried > 0) THEN 'freighter' WHEN round(avg(tonnes_per_departure), 2) >= 5 THEN 'freighter' ELSE 'belly' END AS kind,
   CASE WHEN count(*) FILTER (pax_carried > 0) >= 4 THEN round(corr(freight_tonnes, pax_carried) FILTER (pax_carried > 0), 3) END AS correlation, round(avg(cargo_load_factor_pct), 1) AS mean_load_factor_pct, round(avg(tonnes_per_departure), 2) AS mean_tonnes_per_departure FROM eff WHERE freight_tonnes IS NOT NULL GROUP BY entity_key""")
 def belly_dependency(spark, d):
     """[A-17, A-18]"""
-    return structure.belly_dependency(structure.carrier_efficiency(proxy.metrics(spark, d).where("grain = 'AIRLINE'")))
+    return structure.belly_dependency(structure.carrier_efficiency(proxy.metrics(spark, d, "AIRLINE")))
 
 
 _AEFF = f"""{proxy.FACT}, {proxy.METRIC_ONLY}, fr AS (SELECT airport_iata, period, sort_key, direction, sum(tonnage_kg) / 1000 AS mt FROM fact WHERE grain = 'AIRPORT' GROUP BY ALL),
@@ -296,7 +297,7 @@ _AEFF = f"""{proxy.FACT}, {proxy.METRIC_ONLY}, fr AS (SELECT airport_iata, perio
 @query("airport_efficiency", f"WITH {_AEFF} SELECT * FROM ae")
 def airport_efficiency(spark, d):
     """[A-6, J-10, L-4]"""
-    return structure.airport_efficiency(proxy.facts(spark, d), proxy.metrics(spark, d), proxy.airports(spark, d))
+    return structure.airport_efficiency(proxy.facts(spark, d), proxy.metrics(spark, d, "AIRPORT"), proxy.airports(spark, d))
 
 
 @query("growth_decomposition", f"""WITH {_AEFF}, a AS (SELECT *, count(*) OVER p AS n, max(sort_key) OVER p AS last FROM ae WHERE tonnes_per_flight IS NOT NULL WINDOW p AS (PARTITION BY airport_iata, direction)),
@@ -304,7 +305,7 @@ def airport_efficiency(spark, d):
   SELECT airport_iata, direction, period_now, period_then, round(df, 1) AS change_mt, round(100.0 * df / nullif(f0, 0), 2) AS change_pct, round(fl, 1) AS more_flights_mt, round(df - fl, 1) AS fuller_flights_mt, CASE WHEN abs(fl) > abs(df - fl) THEN 'more flights' ELSE 'fuller flights' END AS driver FROM j""")
 def growth_decomposition(spark, d):
     """[A-20, J-16]"""
-    return structure.growth_decomposition(structure.airport_efficiency(proxy.facts(spark, d), proxy.metrics(spark, d), proxy.airports(spark, d)))
+    return structure.growth_decomposition(proxy.kept(structure.airport_efficiency(proxy.facts(spark, d), proxy.metrics(spark, d, "AIRPORT"), proxy.airports(spark, d))))
 
 
 @query("metric_catalogue", f"WITH {proxy.METRIC} SELECT metric, count(*) AS observations, count(DISTINCT entity_key) AS entities, min(period) AS first_period, max(period) AS last_period FROM metric GROUP BY metric")
@@ -341,7 +342,7 @@ def publisher_chain_gaps(spark, d):
   HAVING sum(tonnage_kg) >= 100000 AND sum(prior_year_tonnage_kg) > 0 ORDER BY abs((sum(tonnage_kg) - sum(prior_year_tonnage_kg)) / sum(prior_year_tonnage_kg)) DESC, 1 LIMIT 8""")
 def brief_movers(spark, d):
     """[G-8, F-9]"""
-    g = proxy.facts(spark, d).where("grain = 'AIRPORT' and direction = 'TOTAL' and period = '2001-07'").groupBy("airport_iata").agg(F.sum("tonnage_kg").alias("t"), F.sum("prior_year_tonnage_kg").alias("p")).where("t >= 100000 and p > 0")
+    g = proxy.facts(spark, d, "2001-07").where("grain = 'AIRPORT' and direction = 'TOTAL' and period = '2001-07'").groupBy("airport_iata").agg(F.sum("tonnage_kg").alias("t"), F.sum("prior_year_tonnage_kg").alias("p")).where("t >= 100000 and p > 0")
     growth = (F.col("t") - F.col("p")) / F.col("p")
     return g.orderBy(F.abs(growth).desc(), "airport_iata").limit(8).select("airport_iata", (F.col("t") / 1000).alias("tonnage_mt"), (growth * 100).alias("growth_pct"))
 
@@ -375,45 +376,35 @@ def retire_superseded(spark, d):
     return kept.select(F.lit("kept").alias("fate"), "kg").unionByName(gone.select(F.lit("retired").alias("fate"), "kg")).groupBy("fate").agg(F.count("*").alias("rows"), F.sum("kg").alias("kg"))
 
 
-@query("unexplained_antijoin", f"WITH {_STAT} SELECT grain, entity_key, direction, measure, period, severity FROM stat s WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT c_nationkey, strftime(o_orderdate, '%Y-%m') AS p FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 10 = 0) e WHERE 'N' || lpad(CAST(e.c_nationkey AS VARCHAR), 2, '0') = s.entity_key AND e.p = s.period)")
+@query("unexplained_antijoin", f"WITH {_STAT} SELECT grain, entity_key, direction, measure, period, severity FROM stat s WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT c_nationkey, strftime(o_orderdate, '%Y-%m') AS p FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000) e WHERE 'N' || lpad(CAST(e.c_nationkey AS VARCHAR), 2, '0') = s.entity_key AND e.p = s.period)")
 def unexplained_antijoin(spark, d):
     """[J-12, J-13] Anomalies that no explanation names."""
     s = series.statistical(series.build(proxy.series_facts(spark, d)))
-    o = proxy.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 10 = 0").join(proxy.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = proxy.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000").join(proxy.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     told = o.select(F.concat(F.lit("N"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("entity_key"), F.date_format("o_orderdate", "yyyy-MM").alias("period"))
     return s.join(told, ["entity_key", "period"], "left_anti").select(*series.KEYS, "period", "severity")
 
 
-@query("detector_precision_recall", f"""WITH {_STAT}, ev AS (SELECT DISTINCT grain, entity_key, period FROM stat), lab AS (SELECT grain, entity_key, direction, measure, period, CASE WHEN abs(tonnage_kg - v12) > 0.6 * v12 THEN 'GENUINE' ELSE 'SPURIOUS' END AS label FROM (SELECT *, lag(tonnage_kg, 12) OVER (PARTITION BY grain, entity_key, direction, measure ORDER BY sort_key) AS v12 FROM series) WHERE v12 > 0),
-  one AS (SELECT grain, entity_key, period, bool_or(label = 'GENUINE') AS genuine FROM lab GROUP BY ALL), j AS (SELECT genuine, ev.entity_key IS NOT NULL AS hit FROM one LEFT JOIN ev USING (grain, entity_key, period))
-  SELECT count(*) FILTER (genuine AND hit) AS tp, count(*) FILTER (NOT genuine AND hit) AS fp, count(*) FILTER (genuine AND NOT hit) AS fn, round(count(*) FILTER (genuine AND hit) / nullif(count(*) FILTER (hit), 0), 6) AS precision_, round(count(*) FILTER (genuine AND hit) / nullif(count(*) FILTER (genuine), 0), 6) AS recall_ FROM j""")
-def detector_precision_recall(spark, d):
-    """[A-15, A-24, W-25, J-18] Alerts against labels by a rule of their own,
-    directions collapsed."""
-    s = series.build(proxy.series_facts(spark, d))
-    ev = series.statistical(s).select("grain", "entity_key", "period").distinct().withColumn("hit", F.lit(True))
-    back = F.lag("tonnage_kg", 12).over(series.ordered())
-    lab = s.withColumn("v12", back).where("v12 > 0").withColumn("genuine", F.abs(F.col("tonnage_kg") - F.col("v12")) > 0.6 * F.col("v12"))
-    j = lab.groupBy("grain", "entity_key", "period").agg(F.bool_or("genuine").alias("genuine")).join(ev, ["grain", "entity_key", "period"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    g = j.agg(F.count_if(F.col("genuine") & F.col("hit")).alias("tp"), F.count_if(~F.col("genuine") & F.col("hit")).alias("fp"), F.count_if(F.col("genuine") & ~F.col("hit")).alias("fn"))
-    return g.select("tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision_"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall_"))
-
-
 @query("seasonal_components")
 def seasonal_components(spark, d):
     """[W-13] Tested by properties."""
-    s = series.build(proxy.series_facts(spark, d), 60).where("direction = 'TOTAL' and grain = 'AIRPORT'")
+    s = series.build(proxy.series_facts(spark, d), 60)
     return kernels.decomposed(s).select(*series.KEYS, "period", *[F.round(c, 3).alias(c) for c in ("trend_kg", "seasonal_kg", "residual_kg")])
 
 
 @query("merged_anomalies")
 def merged_anomalies(spark, d):
     """[W-14, W-16] Tested by properties."""
-    return kernels.detect(series.build(proxy.series_facts(spark, d)).where("direction = 'TOTAL' and grain = 'AIRPORT'"))
+    return kernels.detect(proxy.kept(series.build(proxy.series_facts(spark, d))))
 
 
 @query("arima_forecasts")
 def arima_forecasts(spark, d):
     """[W-19] Tested by properties."""
-    s = series.build(proxy.series_facts(spark, d)).where("direction = 'TOTAL' and grain = 'AIRPORT'")
-    return kernels.arima_forecasts(s)
+    return kernels.arima_forecasts(proxy.kept(series.build(proxy.series_facts(spark, d))))
+
+
+@query("forecast_five_candidates")
+def forecast_five_candidates(spark, d):
+    """[W-21] ARIMA among the candidates; tested against the two parts."""
+    return kernels.published(proxy.kept(series.build(proxy.series_facts(spark, d))))

@@ -137,17 +137,17 @@ def media_sniff(spark, d):
     return p.select("page_id", sniffed.alias("media_type"), cells.type_mismatch(F.lit("http://x/y.pdf?v=1"), sniffed).alias("mismatch"))
 
 
-@query("archive_probing", "SELECT 'https://x.example/' || strftime(m, '%Y') || '/' || strftime(m, '%m') || '.pdf' AS url FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m) WHERE m NOT IN (SELECT date_trunc('month', o_orderdate) FROM orders WHERE o_orderkey % 100 = 0)")
+@query("archive_probing", "SELECT 'https://x.example/' || strftime(m, '%Y') || '/' || strftime(m, '%m') || '.pdf' AS url FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m) WHERE m NOT IN (SELECT date_trunc('month', o_orderdate) FROM orders)")
 def archive_probing(spark, d):
     """[S-19, J-12]"""
-    known = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.date_format("o_orderdate", "'https://x.example/'yyyy'/'MM'.pdf'").alias("url"))
+    known = table(spark, d, "orders").select(F.date_format("o_orderdate", "'https://x.example/'yyyy'/'MM'.pdf'").alias("url"))
     return readers.probes(known, "https://x.example/%04d/%02d.pdf", "1995-01-01", "2001-12-01")
 
 
-@query("api_discovery", "SELECT 'https://x.example/api?c=' || n_name || '&y=' || y AS url FROM nation CROSS JOIN (SELECT unnest(['2020', '2021']) AS y) WHERE n_nationkey < 3")
+@query("api_discovery", "SELECT 'https://x.example/api?c=' || n_name || '&y=' || y AS url FROM nation CROSS JOIN (SELECT unnest(['2020', '2021']) AS y)")
 def api_discovery(spark, d):
     """[S-16]"""
-    names = [r[0] for r in table(spark, d, "nation").where("n_nationkey < 3").select("n_name").collect()]
+    names = [r[0] for r in table(spark, d, "nation").select("n_name").collect()]
     return readers.api_urls(spark, "https://x.example/api?c={c}&y={y}", {"c": names, "y": ["2020", "2021"]})
 
 
@@ -157,10 +157,10 @@ def content_archive(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("jsonstat_decode", "SELECT c_custkey - 1 AS idx, ['A', 'B'][((c_custkey - 1) // 15) % 2 + 1] AS freq, ['x', 'y', 'z'][((c_custkey - 1) // 5) % 3 + 1] AS unit, ['1', '2', '3', '4', '5'][(c_custkey - 1) % 5 + 1] AS time, c_acctbal AS value FROM customer WHERE c_custkey BETWEEN 1 AND 30")
+@query("jsonstat_decode", "SELECT c_custkey AS idx, ['A', 'B'][(c_custkey // 15) % 2 + 1] AS freq, ['x', 'y', 'z'][(c_custkey // 5) % 3 + 1] AS unit, ['1', '2', '3', '4', '5'][c_custkey % 5 + 1] AS time, c_acctbal AS value FROM customer")
 def jsonstat_decode(spark, d):
     """[S-9]"""
-    flat = table(spark, d, "customer").where("c_custkey between 1 and 30").select((F.col("c_custkey") - 1).alias("idx"), F.col("c_acctbal").alias("value"))
+    flat = table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("value"))
     return readers.json_stat(flat, [("freq", ["A", "B"]), ("unit", ["x", "y", "z"]), ("time", ["1", "2", "3", "4", "5"])])
 
 
@@ -216,10 +216,13 @@ def trace_sessions(spark, d):
     return traces.sessions(_steps(spark, d), "user").select("run_id", "seq", "session")
 
 
-@query("spin_guard", f"WITH {_TRACE} SELECT run_id, seq FROM (SELECT *, lag(left(observation, 120)) OVER w AS o1, lag(ok) OVER w AS k1 FROM step WINDOW w AS (PARTITION BY run_id, tool ORDER BY seq)) WHERE NOT ok AND NOT k1 AND o1 = left(observation, 120)")
+@query("spin_guard", """WITH step AS (SELECT conv_id AS run_id, turn AS seq, role AS tool, turn % 3 AS args, length(text) % 3 <> 0 AS ok, CASE WHEN length(text) % 2 = 0 THEN 'timeout' ELSE 'no rows' END AS observation FROM conversations)
+  SELECT run_id, seq FROM (SELECT *, lag(observation) OVER (PARTITION BY run_id, tool, args ORDER BY seq) AS o1 FROM step WHERE NOT ok) WHERE o1 = observation""")
 def spin_guard(spark, d):
-    """[W-28]"""
-    return traces.spinning(_steps(spark, d)).select("run_id", "seq")
+    """[W-28] Calls with arguments, a third of which fail in one of two ways."""
+    n = F.length("text")
+    steps = table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), F.col("role").alias("tool"), (F.col("turn") % 3).alias("args"), (n % 3 != 0).alias("ok"), F.when(n % 2 == 0, "timeout").otherwise("no rows").alias("observation"))
+    return traces.spinning(steps).select("run_id", "seq")
 
 
 @query("policy_arms", f"WITH {_TRACE}, r AS (SELECT run_id, run_id % 2 AS arm, count(*) AS steps, bool_and(ok) AS success, sum(elapsed_ms) AS ms FROM step GROUP BY ALL) SELECT arm, count(*) AS runs, round(avg(steps), 6) AS mean_steps, median(steps) AS median_steps, round(100.0 * count(*) FILTER (success) / count(*), 6) AS success_pct, round(avg(ms), 6) AS ms_per_doc FROM r GROUP BY arm")
@@ -317,10 +320,10 @@ def intent_classification(spark, d):
     return q.select("id", traces.intent(c).alias("intent"), traces.asked_direction(c).alias("direction"), traces.wants_growth(c).alias("wants_growth"))
 
 
-@query("grounding_check", "SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AS grounded FROM orders WHERE o_totalprice > 5000")
+@query("grounding_check", "SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AS grounded FROM orders")
 def grounding_check(spark, d):
     """[G-4, G-5]"""
-    o = table(spark, d, "orders").where("o_totalprice > 5000")
+    o = table(spark, d, "orders")
     shown = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 12345.6).otherwise(F.col("o_totalprice"))
     text = F.format_string("In 2001-07 the 20 airports moved %,.1f MT", shown)
     return o.select(F.col("o_orderkey").alias("id"), cells.grounded(text, F.array("o_totalprice"), F.lit(1)).alias("grounded"))

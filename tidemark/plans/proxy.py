@@ -4,24 +4,42 @@ twin for the oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
+from tidemark.store import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def base(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each line item. Dimensions are left to the optimizer, which
-    broadcasts them below its size limit."""
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once, for queries that read it more than once."""
+    return Scratch(df.sparkSession, "facts").cut(df, "table")
+
+
+def _month(label: str, years: int = 0) -> Column:
+    """The condition that an order is of the month ``label``, ``years`` before:
+    a range of dates, which reaches the scan."""
+    first = dt.datetime(int(label[:4]) - years, int(label[5:7]), 1)
+    later = dt.datetime(first.year + first.month // 12, first.month % 12 + 1, 1)
+    return (F.col("o_orderdate") >= F.lit(first).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(later).cast("timestamp_ntz"))
+
+
+def base(spark: SparkSession, d: str, month: str | None = None) -> DataFrame:
+    """One row for each line item, on demand of one month and its year before.
+    Dimensions are left to the optimizer, which broadcasts them below its size limit."""
     nation = table(spark, d, "nation")
     cn = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("airport_name"), F.col("n_regionkey").alias("c_region"))
     sn = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("s_region"))
     line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    if month:
+        orders = orders.where(_month(month) | _month(month, 1))
     cust = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(cn, "c_nationkey")
     supp = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(sn, "s_nationkey")
     j = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -44,25 +62,32 @@ BASE = """base AS (
 _FACT = ["grain", "airport_iata", "airport_name", "country", "airline_name", "is_aggregate", "period", "direction", "publisher", "measure"]
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
+def _each(*rows: dict[str, Column | str | bool | None]) -> Column:
+    """One row of ``rows`` after another: several groupings of one scan."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.explode(F.array(*[F.struct(*[lit(v).alias(k) for k, v in r.items()]) for r in rows])).alias("x")
+
+
+def facts(spark: SparkSession, d: str, month: str | None = None) -> DataFrame:
     """[J-1, S-23] The fact view: airport facts by direction with a TOTAL, carrier
-    facts with an industry row, period attributes, and the figure of a year before."""
-    b = base(spark, d)
-    keys = ["airport_iata", "airport_name", "country", "period", "publisher"]
-    by = b.groupBy(*keys, "direction").agg(F.sum("qty").alias("q"), F.min("doc").alias("doc"))
-    air = by.withColumn("direction", F.explode(F.array("direction", F.lit("TOTAL")))).groupBy(*keys, "direction").agg(F.sum("q").alias("q"), F.min("doc").alias("doc"))
-    air = air.select(F.lit("AIRPORT").alias("grain"), "airport_iata", "airport_name", "country", F.lit(None).cast("string").alias("airline_name"), F.lit(None).cast("boolean").alias("is_aggregate"), "period", "direction", "publisher", F.lit("freight").alias("measure"), "q", "doc")
-    by = b.groupBy("airline_name", "period", "measure").agg(F.sum("qty").alias("q"), F.min("doc").alias("doc"))
-    car = by.withColumn("airline_name", F.explode(F.array("airline_name", F.lit("All carriers")))).groupBy("airline_name", "period", "measure").agg(F.sum("q").alias("q"), F.min("doc").alias("doc"))
-    none = F.lit(None).cast("string")
-    car = car.select(F.lit("AIRLINE").alias("grain"), none.alias("airport_iata"), none.alias("airport_name"), none.alias("country"), "airline_name", (F.col("airline_name") == "All carriers").alias("is_aggregate"), "period", F.lit("TOTAL").alias("direction"), F.lit("CARRIERS").alias("publisher"), "measure", "q", "doc")
-    all_ = air.unionByName(car).select(*_FACT, (F.col("q") * 1000).alias("tonnage_kg"), F.col("doc").alias("source_document_id"))
-    # a year before: the same rows shifted by label, met by one aggregation instead of a self-join
-    p = F.col("period")
-    later = all_.withColumn("period", periods.next_label(p, 12)).select(*_FACT, F.lit(None).cast("double").alias("tonnage_kg"), F.lit(None).cast("long").alias("source_document_id"), F.col("tonnage_kg").alias("prior_year_tonnage_kg"))
-    both = all_.withColumn("prior_year_tonnage_kg", F.lit(None).cast("double")).unionByName(later)
-    g = both.groupBy(*_FACT).agg(F.max("tonnage_kg").alias("tonnage_kg"), F.max("source_document_id").alias("source_document_id"), F.max("prior_year_tonnage_kg").alias("prior_year_tonnage_kg")).where("tonnage_kg is not null")
-    return g.withColumns({"period_kind": periods.kind(p), "calendar_year": periods.year(p), "calendar_month": periods.month(p), "sort_key": periods.sort_key(p)})
+    facts with an industry row, period attributes, and the figure of a year before.
+
+    One scan and one aggregation of the line items at both grains; totals come
+    from its result, and the year before by a window over that. ``month``: only
+    that month's facts are whole, and only it and its year before are read."""
+    b, none = base(spark, d, month), F.lit(None).cast("string")
+    c = F.col
+    air = {"grain": "AIRPORT", "airport_iata": c("airport_iata"), "airport_name": c("airport_name"), "country": c("country"), "airline_name": none, "direction": c("direction"), "publisher": c("publisher"), "measure": "freight"}
+    car = {"grain": "AIRLINE", "airport_iata": none, "airport_name": none, "country": none, "airline_name": c("airline_name"), "direction": "TOTAL", "publisher": "CARRIERS", "measure": c("measure")}
+    keys = [*air, "period"]
+    fine = b.select("period", "qty", "doc", _each(air, car)).select("period", "qty", "doc", "x.*").groupBy(*keys).agg(F.sum("qty").alias("q"), F.min("doc").alias("doc"))
+    total = F.array(F.struct("airline_name", "direction"), F.struct(F.when(c("grain") == "AIRLINE", "All carriers").alias("airline_name"), F.lit("TOTAL").alias("direction")))
+    both = fine.withColumn("x", F.explode(total)).withColumns({"airline_name": c("x.airline_name"), "direction": c("x.direction")}).groupBy(*keys).agg(F.sum("q").alias("q"), F.min("doc").alias("doc"))
+    p = c("period")
+    all_ = both.select(*keys, (c("airline_name") == "All carriers").alias("is_aggregate"), (c("q") * 1000).alias("tonnage_kg"), c("doc").alias("source_document_id"), periods.kind(p).alias("period_kind"), periods.year(p).alias("calendar_year"), periods.month(p).alias("calendar_month"), periods.sort_key(p).alias("sort_key"))
+    series = Window.partitionBy(*[k for k in keys if k != "period"]).orderBy("sort_key").rangeBetween(-100, -100)  # a year before
+    g = all_.withColumn("prior_year_tonnage_kg", F.max("tonnage_kg").over(series))
+    return g.select(*_FACT, "tonnage_kg", "source_document_id", "prior_year_tonnage_kg", "period_kind", "calendar_year", "calendar_month", "sort_key")
 
 
 FACT = f"""{BASE}, air AS (
@@ -76,7 +101,7 @@ raw AS (
   UNION ALL SELECT 'AIRLINE', NULL, NULL, NULL, airline_name, airline_name = 'All carriers', period, 'TOTAL', 'CARRIERS', measure, q * 1000, doc FROM car),
 fact AS (
   SELECT a.*, b.tonnage_kg AS prior_year_tonnage_kg, 'MONTH' AS period_kind, CAST(a.period[1:4] AS INTEGER) AS calendar_year, CAST(a.period[6:7] AS INTEGER) AS calendar_month, CAST(a.period[1:4] AS INTEGER) * 100 + CAST(a.period[6:7] AS INTEGER) AS sort_key
-  FROM raw a LEFT JOIN raw b ON a.grain = b.grain AND a.airport_iata IS NOT DISTINCT FROM b.airport_iata AND a.airline_name IS NOT DISTINCT FROM b.airline_name AND a.direction = b.direction AND a.publisher = b.publisher AND a.measure = b.measure
+  FROM raw a LEFT JOIN raw b ON a.grain = b.grain AND coalesce(a.airport_iata, '-') = coalesce(b.airport_iata, '-') AND coalesce(a.airline_name, '-') = coalesce(b.airline_name, '-') AND a.direction = b.direction AND a.publisher = b.publisher AND a.measure = b.measure
     AND b.period = CAST(CAST(a.period[1:4] AS INTEGER) - 1 AS VARCHAR) || a.period[5:7])"""
 
 
@@ -91,19 +116,23 @@ SERIES = f"""{FACT}, series AS (
     FROM fact WHERE period < '2001-08' AND (is_aggregate IS NULL OR NOT is_aggregate) GROUP BY ALL))"""
 
 
-def metrics(spark: SparkSession, d: str) -> DataFrame:
+def metrics(spark: SparkSession, d: str, grain: str | None = None) -> DataFrame:
     """[J-9, T7] Operating metrics in long form: carriers in total, airports by
-    direction and in total."""
-    b = base(spark, d)
-    c = b.groupBy(F.col("airline_name").alias("entity_key"), "period").agg(F.sum("qty").alias("q"), (F.sum(F.col("qty") * F.round(100 + 100 * F.col("disc"))) / 100).alias("a"), (F.sum(F.col("qty") * F.round(100 * F.col("tax"))) / 100).alias("m"), F.countDistinct("doc").alias("docs"), F.count("*").alias("n"))
-    pax = F.when(F.col("entity_key").isin("C00", "C05", "C10", "C15"), 0).otherwise(F.col("n") * 7).cast("double")
-    cols = {"ftk_million": F.col("q") / 1000, "atk_million": F.col("a") / 500, "freight_tonnes": F.col("q"), "mail_tonnes": F.col("m"), "cargo_total_tonnes": F.col("q") + F.col("m"), "departures": F.col("docs").cast("double"), "pax_carried": pax}
-    each = lambda cs: F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in cs.items()])).alias("x")
-    carriers = c.select(F.lit("AIRLINE").alias("grain"), "entity_key", "period", F.lit("TOTAL").alias("direction"), each(cols)).select("grain", "entity_key", "period", "direction", "x.*")
-    a = b.withColumn("direction", F.explode(F.array("direction", F.lit("TOTAL")))).groupBy(F.col("airport_iata").alias("entity_key"), "period", "direction").agg(F.countDistinct("doc").alias("docs"), F.count("*").alias("n"))
-    cols = {"aircraft_movements": F.col("docs").cast("double"), "pax_carried": (F.col("n") * 10).cast("double")}
-    airports = a.select(F.lit("AIRPORT").alias("grain"), "entity_key", "period", "direction", each(cols)).select("grain", "entity_key", "period", "direction", "x.*")
-    return carriers.unionByName(airports).withColumn("sort_key", periods.sort_key(F.col("period")))
+    direction and in total; of one scan, on demand of one grain."""
+    c = F.col
+    car = {"grain": "AIRLINE", "entity_key": c("airline_name"), "direction": "TOTAL"}
+    air = {"grain": "AIRPORT", "entity_key": c("airport_iata"), "direction": c("direction")}
+    rows = {"AIRLINE": [car], "AIRPORT": [air, air | {"direction": "TOTAL"}]}
+    rows = rows[grain] if grain else [*rows["AIRLINE"], *rows["AIRPORT"]]
+    keys = ["grain", "entity_key", "period", "direction"]
+    b = base(spark, d).select("period", "qty", "disc", "tax", "doc", _each(*rows)).select("period", "qty", "disc", "tax", "doc", "x.*")
+    g = b.groupBy(*keys).agg(F.sum("qty").alias("q"), (F.sum(c("qty") * F.round(100 + 100 * c("disc"))) / 100).alias("a"), (F.sum(c("qty") * F.round(100 * c("tax"))) / 100).alias("m"), F.countDistinct("doc").alias("docs"), F.count("*").alias("n"))
+    pax = F.when(c("entity_key").isin("C00", "C05", "C10", "C15"), 0).otherwise(c("n") * 7).cast("double")
+    long = lambda cs: F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in cs.items()])
+    carriers = long({"ftk_million": c("q") / 1000, "atk_million": c("a") / 500, "freight_tonnes": c("q"), "mail_tonnes": c("m"), "cargo_total_tonnes": c("q") + c("m"), "departures": c("docs").cast("double"), "pax_carried": pax})
+    airports = long({"aircraft_movements": c("docs").cast("double"), "pax_carried": (c("n") * 10).cast("double")})
+    each = F.explode(F.when(c("grain") == "AIRLINE", carriers).otherwise(airports)).alias("x")
+    return g.select(*keys, each).select(*keys, "x.*", periods.sort_key(c("period")).alias("sort_key"))
 
 
 METRIC_ONLY = """cm AS (

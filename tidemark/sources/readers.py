@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import cells
+
 FACT_SCHEMA = "airport_name_raw string, period string, direction string, tonnage_kg double, source_document_id string, publisher string, airport_iata string, airport_icao string, airport_name string, country string, prior_year_tonnage_kg double, reported_change_pct double, resolution_confidence double, resolution_method string, grain string, airline string, is_aggregate boolean, measure string"
 
 #: Canonical metrics by the pattern of a column's name, first match wins.
@@ -120,3 +122,24 @@ def carried_sections(rows: DataFrame) -> DataFrame:
     heading = F.coalesce(F.when(F.upper("text").contains("INTERNATIONAL"), "INTERNATIONAL"), F.when(F.upper("text").contains("DOMESTIC"), "DOMESTIC"), F.when(F.upper("text").rlike(r"\bTOTAL\b"), "TOTAL"))
     w = Window.partitionBy("doc_id").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("section", F.last(heading, ignorenulls=True).over(w))
+
+
+def ranked_parsers(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """[S-22] Parsers by how well they suit, best first; none that doesn't."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "parser")
+    return scores.where("score > 0").withColumn("place", F.row_number().over(w)).select(*keys, "parser", "place")
+
+
+def runnable(sources: DataFrame, credentials: DataFrame) -> DataFrame:
+    """[S-21] Sources that can run now: the credential counts when asked."""
+    held = credentials.select(F.col("key").alias("_key")).distinct()
+    ready = (F.col("status") == "ACTIVE") | ((F.col("status") == "NEEDS_CREDENTIAL") & F.col("_key").isNotNull())
+    return sources.join(held, F.col("key") == F.col("_key"), "left").where(ready).select(*sources.columns)
+
+
+def catalogue(rows: DataFrame, spellings: dict[str, list[str]]) -> DataFrame:
+    """[P-8] Each field from the first of its spellings that holds something;
+    ``relevant`` by the terms of all of them."""
+    held = lambda k: F.nullif(F.trim(F.try_element_at("fields", F.lit(k))), F.lit(""))
+    found = {name: F.coalesce(*map(held, keys)) for name, keys in spellings.items()}
+    return rows.withColumns(found).withColumn("relevant", F.size(cells.relevance(F.concat_ws(" ", *found))) > 0)
