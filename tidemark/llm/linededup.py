@@ -2,7 +2,7 @@
 positional filters, all in built-in expressions.
 
 A line is the set of its words. Words are ordered by rarity: by the logarithm of
-the corpus count of one of ``2^18`` hash buckets, then by their hash (a total
+the corpus count of one of ``2^16`` hash buckets, then by their hash (a total
 order, which is all that exactness asks for; the table of counts is small
 whatever the corpus). Lines of equal sets form a class, found with map-side
 combining. Classes whose Jaccard similarity can reach ``num/den`` share a word
@@ -11,12 +11,11 @@ and word parities still allow it, and their similarity is then computed from the
 lines' words.
 
 A line is removed if any earlier line (by doc_id, then place) is similar, judged
-on the input. So each class needs one earlier match, not all: it is first held
-against the earliest class that shares a least hash of its words, which a member
-of a large group of variants nearly always does, and only classes without a match
-are joined with the others. A group of variants of one line thus costs a pair for
-each, not for every two. The join goes by rounds of words, so that its shuffle
-stays below the input.
+on the input. So each class needs one earlier match, not all: the classes of a
+word that many prefixes hold are first held against some ``FEW`` of them, and only
+classes without a match are joined with all others. A large group of variants of
+one line thus costs a fixed number of pairs for each, not one for every two. The
+join goes by rounds of words, so that its shuffle stays below the input.
 
 Lines without words stay. Null text is empty and stays null; null ids come last;
 rows of one id and equal text count as one document, so neither removes from the
@@ -30,12 +29,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Scratch, in_total_order
 
-BUCKETS = 18
-_LEVELS = 16  # four bits each, sixteen to a long
+BUCKETS = 16
+_LEVELS = 16
+#: Sets of more words carry a second word of parities.
+_LONG = 64
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _LAST = (1 << 63) - 1
 #: Rounds of the join, by word: each frees its shuffle before the next.
-ROUNDS = 4
+ROUNDS = 3
+#: A word of more prefixes is a common one; about so many of its classes are tried first.
+FEW = 128
 
 
 def _words(line: Column) -> Column:
@@ -51,31 +54,22 @@ def _lines(text: str = "text") -> Column:
     return F.split(text, "\n", -1)
 
 
-def rarity(docs: DataFrame, scratch: Scratch) -> Column:
-    """The level of each of ``2^18`` hash buckets: the logarithm of the number of
-    its words in the corpus, four bits each, as a literal of ``2^14`` numbers."""
+def rarity(docs: DataFrame) -> Column:
+    """The level of each of ``2^16`` hash buckets: the logarithm of the number of
+    its words in the corpus."""
     words = docs.select(F.explode(_lines()).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKETS).alias("b")).agg(F.count("*").alias("n"))
-    counts = scratch.cut(counts, "counts")  # 2^18 rows at most, whatever the corpus
-    most = counts.agg(F.max("n")).head()[0] or 1
-    level = F.greatest(F.floor(F.log2("n")) - max(0, most.bit_length() - _LEVELS), F.lit(0))
-    packed = F.call_function("shiftleft", level.cast("long"), (F.col("b").bitwiseAND(15) * 4).cast("int"))
-    found = counts.groupBy(F.shiftright("b", 4).cast("int").alias("i")).agg(F.bit_or(packed).alias("levels"))
-    levels = dict(found.collect())  # at most 2^14 rows
-    return F.split(F.lit(",".join(str(levels.get(i, 0)) for i in range(1 << (BUCKETS - 4)))), ",").cast("array<bigint>")  # folded to a literal
+    found = dict(counts.select("b", F.floor(F.log2("n")).cast("int")).collect())  # at most 2^16 rows, whatever the corpus
+    low = max(0, max(found.values(), default=0) - _LEVELS + 1)
+    levels = ",".join(str(max(found.get(b, 0) - low, 0) - _LEVELS // 2) for b in range(1 << BUCKETS))
+    return F.split(F.lit(levels), ",").cast("array<bigint>")  # folded to a literal
 
 
 def codes(line: Column, levels: Column) -> Column:
     """The line's distinct words as numbers, rarest first: the level of a word's
     bucket before 60 bits of its hash."""
-
-    def code(h: Column) -> Column:
-        of = F.get(levels, F.shiftrightunsigned(h, 68 - BUCKETS).cast("int"))
-        shift = (F.shiftrightunsigned(h, 64 - BUCKETS).bitwiseAND(15) * 4).cast("int")
-        level = F.call_function("shiftrightunsigned", of, shift).bitwiseAND(15)
-        return F.shiftleft(level - _LEVELS // 2, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
-
-    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), code))
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, F.shiftrightunsigned(h, 64 - BUCKETS)), 60).bitwiseOR(F.shiftrightunsigned(h, 4))))
 
 
 def _sets(docs: DataFrame, places: DataFrame, levels: Column) -> DataFrame:
@@ -88,10 +82,13 @@ def _sets(docs: DataFrame, places: DataFrame, levels: Column) -> DataFrame:
     return own.groupBy("id").agg(F.first("x").alias("x"))  # rows of one id and text have the same lines
 
 
-def _bits(x: Column, half: int) -> Column:
-    """64 of 128 parities, one of them for each word of the set."""
+def _parities(x: Column) -> tuple[Column, Column]:
+    """One of 64 parities flips for each word of the set. A long set also has the
+    parities of about half of its words, so that the two make 128."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    return F.aggregate(x, none, lambda s, h: s.bitwiseXOR(F.when(h.bitwiseAND(64) == 64 * half, F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))).otherwise(none)))
+    flip = lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", one, F.hash(h)))  # noqa: E731  by the low six bits
+    half = F.aggregate(x, none, lambda s, h: F.when(F.hash(h).bitwiseAND(64) == 0, s).otherwise(flip(s, h)))
+    return F.aggregate(x, none, flip), F.when(F.size(x) > _LONG, half)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, held: DataFrame, levels: Column, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
@@ -111,7 +108,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, held: DataFrame, levels: Column
 def _near(num: int, den: int, a: str = "a", b: str = "b") -> Column:
     """Length filter, and the parities of two sets differ at most as the sets do."""
     n1, n2 = F.col(f"n{a}"), F.col(f"n{b}")
-    differ = F.bit_count(F.col(f"s0{a}").bitwiseXOR(F.col(f"s0{b}"))) + F.bit_count(F.col(f"s1{a}").bitwiseXOR(F.col(f"s1{b}")))
+    all_ = F.col(f"s0{a}").bitwiseXOR(F.col(f"s0{b}"))
+    half = F.col(f"s1{a}").bitwiseXOR(F.col(f"s1{b}"))
+    differ = F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(all_)), F.bit_count(all_))
     return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (differ * (num + den) <= (n1 + n2) * (den - num))
 
 
@@ -121,52 +120,54 @@ def _positional(num: int, den: int) -> Column:
     return most * (num + den) >= num * (F.col("na") + F.col("nb"))
 
 
-def _renamed(df: DataFrame, of: str, *keys: str) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(of if c == "id" else c + of) for c in df.columns if c not in keys])
+def _renamed(df: DataFrame, of: str) -> DataFrame:
+    return df.select("word", *[F.col(c).alias(of if c == "id" else c + of) for c in df.columns if c != "word"])
 
 
-def _likely(held: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a class and the earliest that shares one of its least hashes."""
-    rows = held.select("id", "n", "s0", "s1", F.posexplode("least").alias("k", "h"))
-    low = rows.groupBy("k", "h").agg(F.min(F.struct("id", "n", "s0", "s1")).alias("low"), F.max("id").alias("most")).where(F.col("low.id") < F.col("most"))
-    met = _renamed(rows, "a", "k", "h").join(_renamed(low.select("k", "h", "low.*"), "b", "k", "h"), ["k", "h"])
-    return met.where((F.col("b") < F.col("a")) & _near(num, den)).select("a", "b")
+def _prefixes(held: DataFrame) -> DataFrame:
+    return held.select("id", "n", "s0", "s1", F.posexplode("prefix").alias("p", "word"))
 
 
-def _prefixes(held: DataFrame, part: int) -> DataFrame:
-    rows = held.select("id", "n", "s0", "s1", F.posexplode("prefix").alias("p", "word"))
-    return rows.where(F.pmod("word", F.lit(ROUNDS)) == part)
+def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), b earlier, of rows that share a word and may be similar."""
+    met = _renamed(a, "a").join(_renamed(b, "b"), "word")
+    return met.where((F.col("b") < F.col("a")) & _near(num, den) & _positional(num, den)).select("a", "b").distinct()
 
 
 def duplicate_lines(docs: DataFrame, scratch: Scratch, num: int = 4, den: int = 5) -> DataFrame:
     """``doc``, ``th`` (hash of its text) and ``removed``, the places of its lines
     that an earlier line matches."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text").where(F.col("text").isNotNull())
-    levels = rarity(docs, scratch)
+    levels = rarity(docs)
     exploded = docs.select("doc", F.xxhash64("text").alias("th"), F.posexplode(_lines()).alias("at", "line"))
-    coded = exploded.select("doc", "th", "at", codes(F.col("line"), levels).alias("x")).where(F.size("x") > 0)
+    coded = exploded.select("doc", "th", "at", codes(F.col("line"), levels).alias("x"))
     n = F.size("x")
     able = n * den >= num * (n + 1)  # smaller sets match equal ones alone
     # prefixes as 32-bit hashes: equal words stay equal, other matches fail the verification
     prefix = F.transform(F.slice("x", 1, F.floor(n * (den - num) / den).cast("int") + 1), lambda h: F.hash(h))
-    least = F.array(*[F.array_min(F.transform("x", lambda h, j=j: F.hash(h, F.lit(j)))) for j in range(3)])
-    own = {"n": n, "s0": _bits(F.col("x"), 0), "s1": _bits(F.col("x"), 1), "prefix": prefix, "least": least}
     key, place = ["h1", "h2"], ["doc", "th", "at"]
-    lines = coded.select(*place, F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"), F.when(able, F.struct(*[c.alias(k) for k, c in own.items()])).alias("own"))
-    lines = scratch.cut(lines, "lines")
-    classes = lines.groupBy(*key).agg(F.min(F.struct(*place)).alias("first"), F.first("own").alias("own"))  # equal sets have equal own
-    classes = scratch.cut(classes.select(*key, "first.*", "own"), "unordered")
+    lines = coded.select(*place, n.alias("n"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"), F.when(able, prefix).alias("prefix"), _parities(F.col("x"))[0].alias("s0"), _parities(F.col("x"))[1].alias("s1"))
+    # a filter on n would be pushed below and compute the words of each line twice
+    lines = scratch.cut(lines, "lines").where("n > 0")
+    own = F.struct("n", "prefix", "s0", "s1")  # equal sets have equal ones
+    classes = lines.groupBy(*key).agg(F.min(F.struct(*place)).alias("first"), F.first(own).alias("own"))
+    classes = scratch.cut(classes.select(*key, "first.*", "own.*"), "unordered")
     held = in_total_order(classes, [F.col(c) for c in place], scratch, "classes")
     scratch.drop("unordered")
-    held = held.select(*key, *place, "own.*", F.shiftleft("_pid", 33).bitwiseOR(F.col("_row")).alias("id"))  # grows with the first place
-    some = held.where("n is not null")
-    found = _verified(_likely(some, num, den), docs, some, levels, num, den, scratch, "likely")
+    held = held.select(*key, *place, "n", "prefix", "s0", "s1", F.shiftleft("_pid", 33).bitwiseOR(F.col("_row")).alias("id"))  # grows with the first place
+    some = held.where("prefix is not null")
+    rows = _prefixes(some)
+    common = scratch.cut(rows.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") > FEW), "common")
+    many = scratch.cut(rows.join(common, "word"), "many")
+    tried = many.where(F.pmod(F.xxhash64("id", "word"), F.ceil(F.col("c") / FEW)) == 0)
+    pairs = scratch.cut(_met(many.drop("c"), tried.drop("c"), num, den), "few")
+    found = _verified(pairs, docs, some, levels, num, den, scratch, "few")
+    scratch.drop("many", "common", "few")
     probe = scratch.cut(some.select("id", "n", "s0", "s1", "prefix").join(found.select(F.col("a").alias("id")), "id", "left_anti"), "probe")
     pairs = None
     for k in range(ROUNDS):
-        met = _renamed(_prefixes(probe, k), "a", "word").join(_renamed(_prefixes(some, k), "b", "word"), "word")
-        met = met.where((F.col("b") < F.col("a")) & _near(num, den) & _positional(num, den))
-        met = scratch.cut(met.select("a", "b").distinct(), f"round-{k}")
+        part = F.pmod("word", F.lit(ROUNDS)) == k
+        met = scratch.cut(_met(_prefixes(probe).where(part), rows.where(part), num, den), f"round-{k}")
         pairs = met if pairs is None else pairs.unionByName(met)
     scratch.drop("probe")
     found = found.unionByName(_verified(pairs, docs, some, levels, num, den, scratch, "rest"))
@@ -174,7 +175,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, num: int = 4, den: int =
     matched = scratch.cut(matched.select(*key, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "matched")
     gone = lines.select(*key, *place).join(matched, key).where(F.col("gone") | (F.struct(*place) != F.col("first")))
     gone = scratch.cut(gone.groupBy("doc", "th").agg(F.collect_set("at").alias("removed")), "gone")
-    scratch.drop("lines", "classes", "matched", "counts", *[f"round-{k}" for k in range(ROUNDS)])
+    scratch.drop("lines", "classes", "matched", *[f"round-{k}" for k in range(ROUNDS)])
     return gone
 
 
