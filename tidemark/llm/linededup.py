@@ -13,8 +13,9 @@ lines' words.
 A line is removed if any earlier line (by doc_id, then place) is similar, judged
 on the input. So each class needs one earlier match, not all: the classes of a
 word that many prefixes hold are first held against some ``FEW`` of them, and only
-classes without a match are joined with all others. A large group of variants of
-one line thus costs a fixed number of pairs for each, not one for every two. The
+classes without a match are joined with all others. Of a class's candidates the likeliest
+is verified first, the others only if it fails. A large group of variants of one
+line thus costs a fixed number of pairs for each, not one for every two. The
 join goes by rounds of words, so that its shuffle stays below the input.
 
 Lines without words stay. Null text is empty and stays null; null ids come last;
@@ -37,8 +38,8 @@ _SPACE = "[\\x20\\x09-\\x0D]+"
 _LAST = (1 << 63) - 1
 #: Rounds of the join, by word: each frees its shuffle before the next.
 ROUNDS = 3
-#: A word of more prefixes is a common one; about so many of its classes are tried first.
-FEW = 128
+#: A word of more prefixes is a common one; of its classes about ``FEW`` are tried first.
+COMMON, FEW = 256, 64
 
 
 def _words(line: Column) -> Column:
@@ -94,7 +95,7 @@ def _parities(x: Column) -> tuple[Column, Column]:
 def _verified(pairs: DataFrame, docs: DataFrame, held: DataFrame, levels: Column, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """Those ``a`` of ``pairs`` (a, b) that are similar to their ``b``, by the
     words of both."""
-    pairs = scratch.cut(pairs.distinct(), f"{name}-pairs")
+    pairs = scratch.cut(pairs, f"{name}-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.cut(_sets(docs, held.select("id", "doc", "th", "at").join(needed, "id", "left_semi"), levels), f"{name}-sets")
     both = pairs.join(sets.selectExpr("id as a", "x as xa"), "a").join(sets.selectExpr("id as b", "x as xb"), "b")
@@ -105,13 +106,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, held: DataFrame, levels: Column
     return found
 
 
-def _near(num: int, den: int, a: str = "a", b: str = "b") -> Column:
-    """Length filter, and the parities of two sets differ at most as the sets do."""
-    n1, n2 = F.col(f"n{a}"), F.col(f"n{b}")
-    all_ = F.col(f"s0{a}").bitwiseXOR(F.col(f"s0{b}"))
-    half = F.col(f"s1{a}").bitwiseXOR(F.col(f"s1{b}"))
-    differ = F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(all_)), F.bit_count(all_))
-    return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (differ * (num + den) <= (n1 + n2) * (den - num))
+def _differ() -> Column:
+    """The parities of two sets differ at most as the sets do."""
+    all_, half = F.col("s0a").bitwiseXOR(F.col("s0b")), F.col("s1a").bitwiseXOR(F.col("s1b"))
+    return F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(all_)), F.bit_count(all_))
+
+
+def _near(num: int, den: int) -> Column:
+    """Length filter and parities."""
+    n1, n2 = F.col("na"), F.col("nb")
+    return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (_differ() * (num + den) <= (n1 + n2) * (den - num))
 
 
 def _positional(num: int, den: int) -> Column:
@@ -129,9 +133,15 @@ def _prefixes(held: DataFrame) -> DataFrame:
 
 
 def _met(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b), b earlier, of rows that share a word and may be similar."""
+    """Pairs (a, b), b earlier, of rows that share a word and may be similar, with
+    the number ``d`` of parities that differ."""
     met = _renamed(a, "a").join(_renamed(b, "b"), "word")
-    return met.where((F.col("b") < F.col("a")) & _near(num, den) & _positional(num, den)).select("a", "b").distinct()
+    return met.where((F.col("b") < F.col("a")) & _near(num, den) & _positional(num, den)).select("a", "b", _differ().alias("d"))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each ``a`` the ``b`` that differs least."""
+    return pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")
 
 
 def duplicate_lines(docs: DataFrame, scratch: Scratch, num: int = 4, den: int = 5) -> DataFrame:
@@ -157,25 +167,28 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, num: int = 4, den: int =
     held = held.select(*key, *place, "n", "prefix", "s0", "s1", F.shiftleft("_pid", 33).bitwiseOR(F.col("_row")).alias("id"))  # grows with the first place
     some = held.where("prefix is not null")
     rows = _prefixes(some)
-    common = scratch.cut(rows.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") > FEW), "common")
+    common = scratch.cut(rows.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") > COMMON), "common")
     many = scratch.cut(rows.join(common, "word"), "many")
     tried = many.where(F.pmod(F.xxhash64("id", "word"), F.ceil(F.col("c") / FEW)) == 0)
-    pairs = scratch.cut(_met(many.drop("c"), tried.drop("c"), num, den), "few")
-    found = _verified(pairs, docs, some, levels, num, den, scratch, "few")
-    scratch.drop("many", "common", "few")
+    found = _verified(_best(_met(many.drop("c"), tried.drop("c"), num, den)), docs, some, levels, num, den, scratch, "few")
+    scratch.drop("many", "common")
     probe = scratch.cut(some.select("id", "n", "s0", "s1", "prefix").join(found.select(F.col("a").alias("id")), "id", "left_anti"), "probe")
     pairs = None
     for k in range(ROUNDS):
         part = F.pmod("word", F.lit(ROUNDS)) == k
-        met = scratch.cut(_met(_prefixes(probe).where(part), rows.where(part), num, den), f"round-{k}")
+        met = scratch.cut(_met(_prefixes(probe).where(part), rows.where(part), num, den).distinct(), f"round-{k}")
         pairs = met if pairs is None else pairs.unionByName(met)
     scratch.drop("probe")
-    found = found.unionByName(_verified(pairs, docs, some, levels, num, den, scratch, "rest"))
+    pairs = scratch.cut(pairs.select("a", "b", "d").distinct(), "pairs")  # one pair may share words of several rounds
+    best = scratch.cut(_best(pairs), "best")
+    sure = _verified(best, docs, some, levels, num, den, scratch, "best")
+    rest = pairs.join(sure, "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
+    found = found.unionByName(sure).unionByName(_verified(rest, docs, some, levels, num, den, scratch, "rest"))
     matched = held.select("id", *key, F.struct(*place).alias("first")).join(found.withColumn("gone", F.lit(True)), F.col("id") == F.col("a"), "left")
     matched = scratch.cut(matched.select(*key, "first", F.coalesce("gone", F.lit(False)).alias("gone")), "matched")
     gone = lines.select(*key, *place).join(matched, key).where(F.col("gone") | (F.struct(*place) != F.col("first")))
     gone = scratch.cut(gone.groupBy("doc", "th").agg(F.collect_set("at").alias("removed")), "gone")
-    scratch.drop("lines", "classes", "matched", *[f"round-{k}" for k in range(ROUNDS)])
+    scratch.drop("lines", "classes", "matched", "pairs", "best", *[f"round-{k}" for k in range(ROUNDS)])
     return gone
 
 
