@@ -38,7 +38,7 @@ _NONE = "-" * 8
 
 def _hashes(text: Column) -> Column:
     """The hashes of the distinct terms."""
-    return F.array_distinct(F.transform(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda t: F.xxhash64(t)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""), lambda t: F.xxhash64(t)))
 
 
 def _bucket(h: Column) -> Column:
@@ -131,9 +131,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows with ``next_text``: that of the following row by descending id, after
-    the last the first. Texts move once, to ranges of ids; only the first row of
-    each range goes to another."""
+    """Rows (doc_id, text, print) with ``next``, text and print of the following
+    row by descending id, after the last the first. Texts move once, to ranges of
+    ids; only the first row of each range goes to another."""
     # ids are small, texts aren't: several ranges for each shuffle partition of the texts
     ranges = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = in_total_order(docs.select("doc_id"), [F.desc_nulls_last("doc_id")], scratch, "order", ranges)
@@ -143,13 +143,13 @@ def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     bucket = F.when(F.col("doc_id").isNull(), len(lows)).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("doc_id"))))
     ranged = docs.withColumns({"_bucket": bucket, "_h": F.xxhash64("text")})
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), (-F.col("_h").cast("decimal(20,0)")).alias("h"))
-    firsts = scratch.cut(ranged.groupBy("_bucket").agg(F.max_by("text", place).alias("_first")), "firsts")
+    firsts = scratch.cut(ranged.groupBy("_bucket").agg(F.max_by(F.struct("text", "print"), place).alias("_first")), "firsts")
     w = Window.orderBy("_bucket")  # one row for each range
     follow = firsts.select("_bucket", F.coalesce(F.lead("_first").over(w), F.first("_first").over(w)).alias("_n"))
     follow = scratch.cut(follow.withColumnRenamed("_bucket", "_b"), "follow")
-    led = ranged.withColumn("_lead", F.lead("text").over(Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), "_h")))
+    led = ranged.withColumn("_lead", F.lead(F.struct("text", "print")).over(Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), "_h")))
     joined = led.join(follow, (F.col("_bucket") == F.col("_b")) & F.col("_lead").isNull(), "left")
-    return joined.select("doc_id", "text", F.coalesce("_lead", "_n").alias("next_text"))
+    return joined.select("doc_id", "text", "print", F.coalesce("_lead", "_n").alias("next"))
 
 
 def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, scratch: Scratch | None = None) -> DataFrame:
@@ -158,12 +158,10 @@ def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, scratc
     scratch = scratch or Scratch(docs.sparkSession, "imatch")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     held = lexicon(docs, low, high)
-    scratch.drop()
-    pairs = with_next(docs, scratch)
+    pairs = with_next(docs.withColumn("print", fingerprint(F.col("text"), held)), scratch)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
-    pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    # the next text is fingerprinted again rather than moved with its fingerprint
-    prints = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text"), held).alias("fingerprint"), fingerprint(F.col("edited"), held).alias("edited_fingerprint"), fingerprint(F.col("next_text"), held).alias("next_fingerprint"))
-    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    edited = F.concat(F.left("text", n - half), F.left("next.text", half))
+    pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), "print", F.col("next.print").alias("next_print"), edited.alias("edited"))
+    prints = pairs.select("doc_id", "n_chars", "print", "next_print", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("edited"), held).alias("edited_fingerprint"))
+    return prints.select("doc_id", "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), "edited_fingerprint", likeness(F.col("print"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
