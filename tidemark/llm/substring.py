@@ -5,7 +5,8 @@ Seed and extend without pairs. Each window has one anchor, the least of its seed
 hashes (winnowing): equal windows have equal anchors, so only windows whose
 anchor occurs in two documents can repeat. Anchors are matched by their smallest
 and largest document alone, with map-side combining. Around matched anchors all
-windows that hold them are laid out both ways and matched in the same manner;
+windows that hold them are laid out both ways and matched in the same manner, by
+128 bits of hash;
 a window that starts earlier elsewhere marks its words, and marks that touch
 join to maximal repeats. No two occurrences of a passage are ever paired.
 
@@ -95,9 +96,14 @@ def anchors(hashes: np.ndarray, window: int, seed: int) -> np.ndarray:
     return _least(rolled(hashes, seed), window - seed + 1).view(np.int64)
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
+def _shared(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that occur in documents of different ids, with the smallest."""
-    return rows.groupBy(key).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(key, "least")
+    return rows.groupBy(*key).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(*key, "least")
+
+
+def windows(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every window, which together decide."""
+    return rolled(hashes, window), rolled(_finished(hashes ^ np.uint64(_ODD)), window)
 
 
 def repeats(docs: DataFrame, scratch: Scratch, window: int = 50, seed: int = 26) -> DataFrame:
@@ -122,23 +128,23 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = 50, seed: int = 26)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                keys, docs_, ths, places = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
+                keys, docs_, ths, places = [np.zeros((2, 0), np.int64)], [], [], [np.zeros(0, np.int32)]
                 for doc, text, th, known in zip(part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_numpy(), part.column(3), strict=True):
                     hashes = hashed(words_of(text))
                     place = np.flatnonzero(np.isin(anchors(hashes, window, seed), known.values.to_numpy())).astype(np.int32)
                     if len(place):
-                        keys.append(rolled(hashes, window)[place].view(np.int64))
+                        keys.append(np.stack([x[place].view(np.int64) for x in windows(hashes, window)]))
                         places.append(place)
                         docs_.append(np.full(len(place), doc))
                         ths.append(np.full(len(place), th))
                 doc, th = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (docs_, ths))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), doc, th, pa.array(np.concatenate(places))], names=["key", "doc", "th", "at"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(keys, axis=1)), doc, th, pa.array(np.concatenate(places))], names=["key", "more", "doc", "th", "at"])
 
     laid = texts.join(by_doc, ["doc", "th"]).select("doc", "text", "th", "anchors")
-    laid = scratch.cut(laid.mapInArrow(extend, "key long, doc long, th long, at int"), "windows")
+    laid = scratch.cut(laid.mapInArrow(extend, "key long, more long, doc long, th long, at int"), "windows")
     scratch.drop("matched")
-    earlier = scratch.cut(_shared(laid, "key"), "earlier")
-    return laid.join(earlier, "key").where("doc > least").select("doc", "th", "at")
+    earlier = scratch.cut(_shared(laid, "key", "more"), "earlier")
+    return laid.join(earlier, ["key", "more"]).where("doc > least").select("doc", "th", "at")
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, window: int = 50, seed: int = 26) -> DataFrame:
