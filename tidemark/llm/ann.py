@@ -97,8 +97,8 @@ class Router:
 def fitted(x: np.ndarray, rows: int, per_part: int, coverage: float, seed: int = 1, k: int = 20) -> tuple[Router, int, int]:
     """Router, number of parts and of probes, from a sample of ``rows`` rows."""
     rng = np.random.default_rng(seed)
-    depth = max(0, int(np.ceil(np.log2(max(1.0, rows / per_part)))))
-    depth = min(depth, max(0, int(np.log2(max(1, len(x) / 64)))))
+    depth = max(1, int(np.ceil(np.log2(max(1.0, rows / per_part)))))  # two parts at least
+    depth = min(depth, max(0, int(np.log2(max(1, len(x) / 64)))))  # of 64 rows of the sample each
     parts, k = 1 << depth, min(k, len(x) - 1)
     router = Router(x.shape[1], parts, 64, rng)
     if parts == 1:
@@ -146,7 +146,7 @@ def top(queries: np.ndarray, ids: np.ndarray, lows: np.ndarray, rows: np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 10_000, per_part: int = 8192, coverage: float = 0.95, cell: int = 4096, scratch: Scratch | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 10_000, per_part: int = 1024, coverage: float = 0.95, cell: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the rows that ``is_query``."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
