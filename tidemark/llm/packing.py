@@ -192,10 +192,9 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 32, large: float =
 
 
 def best_plan(counts: dict[int, int], capacity: int) -> list[Bins]:
-    """The plan of fewest bins over a few sizes of group and bounds of what is
-    large; with none large, all lengths go best-fit. Tight lengths gain from the
-    configurations, smoothly spread ones from best-fit."""
-    tried = [(32, 1 / 8, 8), (64, 1 / 4, 8), (100, 1 / 3, 4), (1, 1.0, 8)]
+    """The plan of fewest bins over a few numbers of groups and bounds of what is
+    large, all by linear grouping."""
+    tried = [(32, 1 / 8, 8), (64, 1 / 4, 8), (100, 1 / 3, 4)]
     return min((plan(counts, capacity, *t) for t in tried), key=lambda bins: sum(n for n, _ in bins))
 
 
