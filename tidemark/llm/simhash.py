@@ -123,12 +123,13 @@ def links(fps: DataFrame, budget: int, scratch: Scratch, most: int = 1 << 14) ->
     dealt = fps.select("fp", "node", F.explode(cells).alias("c")).select("fp", "node", "c.*")
     sizes = scratch.cut(dealt.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "cells")
     # a large cell goes to pairs of subtrees: by leading bits of what the blocks leave
-    depth = F.when(F.col("n") > most, F.least(F.lit(12), F.ceil(F.log2(F.col("n") / most)) + 1)).otherwise(0).cast("int")
+    depth = F.when(F.col("n") > most, F.least(F.lit(40), F.ceil(F.log2(F.col("n") / most)) + 1)).otherwise(0).cast("int")  # no cell has 2^40 times as many
     free = F.element_at(F.array(*[F.lit(~m) for m in signed]), F.col("k") + 1)
     rest = _gathered(F.col("fp").bitwiseAND(free), masks)
     held = dealt.join(sizes, ["k", "key"]).withColumn("depth", depth).withColumn("rest", rest)
     part = F.expr("shiftrightunsigned(rest, 64 - depth)")
-    near = F.expr(f"filter(sequence(0L, shiftleft(1L, depth) - 1), m -> bit_count(m) <= {budget})")
+    reach = sorted(sum(1 << i for i in at) for k in range(budget + 1) for at in combinations(range(40), k))
+    near = F.expr(f"filter(array({', '.join(f'{m}L' for m in reach)}), m -> m < shiftleft(1L, depth))")
     small = held.where("depth = 0").select("k", "key", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "fp", "node")
     large = held.where("depth > 0").withColumn("own", part).select("k", "key", "own", "fp", "node", F.explode(near).alias("m"))
     large = large.withColumn("other", F.col("own").bitwiseXOR(F.col("m"))).select("k", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp", "node")
