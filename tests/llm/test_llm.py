@@ -78,7 +78,16 @@ def test_token_files(spark, texts):
     first = manifest.orderBy("shard").head()
     shard = token_files.Shard(first["path"])
     ids, mask = shard.sequence(0)
-    assert len(ids) == 64 and mask.all() and ids.tolist() == stream[:64] and not ids.flags.owndata
+    assert len(ids) == 64 and mask.all() and ids.tolist() == stream[:64] and not ids.flags.owndata and not mask.flags.owndata
+    at = 0
+    for row in manifest.orderBy("shard").collect():  # every sequence by number, the last first
+        shard = token_files.Shard(row["path"])
+        for i in reversed(range(-(-row["tokens"] // 64))):
+            ids, mask = shard.sequence(i)
+            n = min(64, row["tokens"] - 64 * i)
+            assert ids[:n].tolist() == stream[at + 64 * i : at + 64 * i + n] and mask.tolist() == [1] * n + [0] * (64 - n)
+        at += row["tokens"]
+    assert at == len(stream)
 
 
 def test_token_files_empty(spark):
@@ -253,6 +262,59 @@ def test_imatch_lexicon_holds_the_band_alone(spark, monkeypatch):
     assert [len(r["t"]) for r in kept] == [sum(w in band for w in t.split()) for t in rows]
 
 
+def murmur(longs, seed=42):
+    """Spark's hash of an array of longs."""
+    m, rot = 0xFFFFFFFF, lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
+    h = seed
+    for x in longs:
+        for k in (x & m, x >> 32 & m):
+            h = (rot(h ^ rot(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m, 13) * 5 + 0xE6546B64) & m
+        h ^= 8
+        h = (h ^ h >> 16) * 0x85EBCA6B & m
+        h = (h ^ h >> 13) * 0xC2B2AE35 & m
+        h ^= h >> 16
+    return h
+
+
+def brute_prints(texts, low, high):
+    h = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    sets = [{h(w.decode()) for w in (t or "").encode().split()} for t in texts]
+    df = {}
+    for s in sets:
+        for x in s:
+            df[x] = df.get(x, 0) + 1
+    kept = {x for x, n in df.items() if max(2, low * len(texts)) <= n <= high * len(texts)}
+
+    def one(text, terms):
+        terms = sorted(terms & kept, key=lambda x: x - (x >> 63 << 64))
+        out = []
+        for r, (taken, of) in enumerate(imatch.RATES):
+            for j in range(taken):
+                own = [x for x in terms if x >> (4 + 10 * r) & (of - 1) == j]
+                out.append(f"{murmur(own):08x}" if own else "-" * 8)
+        whole = 42
+        for x in terms:
+            whole = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), whole)
+        if not terms:
+            whole = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h(text or ""))
+        return "".join(out) + f"{whole:016x}"
+
+    return one, [one(t, s) for t, s in zip(texts, sets, strict=True)], lambda t: {h(w.decode()) for w in t.encode().split()}
+
+
+def test_imatch_prints_by_brute_force(spark, texts):
+    rows = [t for t in texts if t is not None]
+    one, want, terms = brute_prints(rows, 0.03, 0.5)
+    got = {r["doc_id"]: r for r in imatch.fingerprints(docs(spark, rows).repartition(3), low=0.03, high=0.5).collect()}
+    for i, t in enumerate(rows):
+        assert got[i]["fingerprint"] == want[i]
+        nxt = rows[i - 1]  # the last row's next is the first
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert got[i]["edited_fingerprint"] == one(edited, terms(edited))
+        if want[i] == want[i - 1]:
+            assert got[i]["near_next"] == 1.0
+
+
 # ---- 6 packing
 
 
@@ -360,6 +422,23 @@ def test_search_recall(spark):
 # ---- 9 mixing
 
 
+def test_search_recall_of_production_parameters(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.search(table, F.col("vec_id") % 20 == 0).toPandas()
+    rows = table.toPandas()
+    x = np.array([np.asarray(e, float) for e in rows["embedding"]])
+    hits = 0
+    asked = rows.index[rows["vec_id"] % 20 == 0]
+    for i in asked:
+        s = x @ x[i]
+        s[i] = -np.inf
+        best = set(rows["vec_id"].to_numpy()[np.lexsort((rows["vec_id"], -s))[:20]])
+        hits += len(best & set(got.loc[got["query_id"] == rows["vec_id"][i], "vec_id"]))
+    assert len(got) == 20 * len(asked) and hits / len(got) >= 0.9
+    few = np.array([r[0] for r in table.select("embedding").limit(2000).collect()], float)
+    assert ann.fitted(few, len(few), 1024, 0.95)[1] > 1  # the learned path
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100]) == pytest.approx([300 * 5 / 8, 300 * 2 / 8, 300 / 8])
     t = mixing.targets([10, 500, 500])
@@ -395,6 +474,44 @@ def test_mix(spark, texts):
     assert mixing.mixed_documents(docs(spark, [None, ""]), shared.Scratch(spark, "m")).count() == 0
 
 
+def test_mix_by_brute_force(spark):
+    rng = random.Random(2)
+    texts = [None, "", *(" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 400))) for _ in range(300))]
+    names = ["b", "a", None, "c"]
+    mix = mixing.Mix(docs(spark, texts).repartition(3), shared.Scratch(spark, "m"), block=16, shard_slots=100)
+    slots = [tuple(r) for r in mix.slots.collect()]
+    order = ["a", "b", "c", None]
+    words = {s: [i for i in range(len(texts)) if names[i % 4] == s for _ in (texts[i] or "").split()] for s in order}  # the document of each word
+    taken = dict.fromkeys(range(len(texts)), 0)
+    for _, source, _, block in slots:
+        for i in words[order[source]][block * 16 : block * 16 + 16]:
+            taken[i] += 1
+    assert {r["doc_id"]: r["taken"] for r in mix.taken().collect()} == taken
+    # every slot of a source once, each block once a pass, totals to a slot
+    goals = mixing.targets([len(words[s]) for s in order])
+    for k, s in enumerate(order):
+        own = sorted((slot, block) for _, source, slot, block in slots if source == k)
+        n = -(-len(words[s]) // 16)
+        assert [x[0] for x in own] == list(range(len(own)))
+        assert abs(len(own) - goals[k] * n / len(words[s])) < 1.01
+        for turn in range(0, len(own), n):
+            assert len({b for _, b in own[turn : turn + n]}) == len(own[turn : turn + n])
+    # shards are drawn, not dealt
+    drawn = {}
+    for shard, source, *_ in slots:
+        drawn.setdefault(shard, [0] * 4)[source] += 1
+    share = np.array(mixing.whole(np.array([g * -(-len(words[s]) // 16) / len(words[s]) for g, s in zip(goals, order, strict=True)]), np.full(4, 10**9)), float)
+    share /= share.sum()
+    even = sum(all(abs(c - 100 * p) < 1 for c, p in zip(v, share, strict=True)) for v in drawn.values())
+    assert even < len(drawn) / 2
+
+
+def test_mixed_documents_of_one_row_many_times(spark):
+    same = docs(spark, ["a b c d e f g h"] * 40 + ["x y"] * 3).withColumns({"doc_id": F.lit(5).cast("long"), "source": F.lit("s")})
+    mixed = mixing.mixed_documents(same.repartition(5), shared.Scratch(spark, "m"), block=4).collect()
+    assert sum(len(r["text"].split()) for r in mixed) == 326
+
+
 # ---- 10 SimHash
 
 

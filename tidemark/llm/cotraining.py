@@ -2,7 +2,7 @@
 
 Two logistic classifiers see a document from different sides: its words (hashed
 words, word shapes and a few counts) and its page metadata (language, source,
-length, lines). Over several rounds each gives the other its most confident
+recorded length). Over several rounds each gives the other its most confident
 labels for a pool of unlabelled documents. Both are then calibrated on held-out
 labels, and their evidence beyond the prior is added up. Every document is
 scored; one is rejected if its probability of being good is below ``least``.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORDS, _SHAPES, _FACTS = 1 << 15, 1 << 10, 5
-_META = 300
+_META = 341
 _LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
 _DIGITS = re.compile(rb"[0-9]+")
 
@@ -40,7 +40,7 @@ class _Buckets(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 500_000:
             self.clear()
-        shape = _DIGITS.sub(b"0", _LETTERS.sub(b"a", word))[:12]
+        shape = _DIGITS.sub(b"0", _LETTERS.sub(b"a", word))
         found = self[word] = zlib.crc32(word.lower()) % _WORDS, _WORDS + zlib.crc32(shape) % _SHAPES
         return found
 
@@ -66,12 +66,12 @@ def content(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([ids, at + np.arange(_FACTS), [at + _FACTS]]), np.concatenate([value, facts, [1.0]])
 
 
-def metadata(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the page: language, source, length and lines."""
-    n = len(text or "") if n_chars is None else max(0, n_chars)
-    lines = (text or "").count("\n") + 1
-    ids = [zlib.crc32(repr(lang).encode()) % 32, 32 + zlib.crc32(repr(source).encode()) % 256, 290, 291, 292, 293, _META - 1]
-    return np.array(ids), np.array([0.5, 0.5, np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8, float(n_chars is None), 1.0])
+def metadata(lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the page: language, source and recorded length; nothing of the text."""
+    n = max(0, n_chars or 0)
+    bands = [min(int(np.log2(n + 1)), 31) + 300, 340]
+    ids = [zlib.crc32(repr(lang).encode()) % 32, 32 + zlib.crc32(repr(source).encode()) % 256, 290, 291, *bands]
+    return np.array(ids), np.array([0.5, 0.5, np.log1p(n) / 10, float(n_chars is None), 0.5, 1.0])
 
 
 class Sparse:
@@ -134,7 +134,7 @@ class Classifier:
             return np.full((len(texts), 3), 0.5)
         out = np.empty((len(texts), 3))
         for i, (text, lang, source, n) in enumerate(zip(texts, langs, sources, sizes, strict=True)):
-            for k, ((ids, values), w) in enumerate(((content(text), self.text), (metadata(text, lang, source, n), self.meta))):
+            for k, ((ids, values), w) in enumerate(((content(text), self.text), (metadata(lang, source, n), self.meta))):
                 a, b = self.scales[k]
                 out[i, k] = a * float(values @ w[ids]) + b
         out[:, 2] = out[:, 0] + out[:, 1] - self.prior
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 40
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = _read(batch)
-            found = [content(t) for t in columns[0]], [metadata(*x) for x in zip(*columns, strict=True)]
+            found = [content(t) for t in columns[0]], [metadata(*x) for x in zip(*columns[1:], strict=True)]
             flat = [pa.array([x[i].tolist() for x in view], pa.list_(kind)) for view in found for i, kind in ((0, pa.int64()), (1, pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *flat], names=["id", "ti", "tv", "mi", "mv"])
 

@@ -1,7 +1,7 @@
 """Token-id files: documents as fixed-length sequences in Arrow IPC files.
 
 A shard is one Arrow IPC file whose record batches hold two fixed-size-list
-columns, ``ids`` and ``mask`` (false: padding), so that sequence ``i`` of a
+columns, ``ids`` and ``mask`` (a byte each, 0: padding), so that sequence ``i`` of a
 memory-mapped shard is a slice without a copy or a parse. The documents of a
 shard follow one another in ascending ``doc_id``; only its last sequence is
 padded. Beside it lies an index file with each document's place in the shard.
@@ -36,7 +36,7 @@ class ShardWriter:
         system, path = ready(uri)
         self.length, self.dtype, self.room = length, dtype, length * per_batch * dtype.itemsize
         item = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out = system.open_output_stream(path)
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.held = bytearray()
@@ -50,8 +50,8 @@ class ShardWriter:
     def _batch(self, data: bytes) -> None:
         ids = np.frombuffer(data, self.dtype)
         n = -(-len(ids) // self.length) * self.length
-        mask = np.zeros(n, bool)
-        mask[: len(ids)] = True
+        mask = np.zeros(n, np.uint8)
+        mask[: len(ids)] = 1
         ids = np.concatenate([ids, np.zeros(n - len(ids), self.dtype)])
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
@@ -76,17 +76,17 @@ class Shard:
         self.per_batch = self.reader.get_batch(0).num_rows if self.batches else 0
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``; the ids are a view of the file."""
+        """Ids and mask of sequence ``i``, both views of the file."""
         batch, row = self.reader.get_batch(i // self.per_batch), i % self.per_batch
         ids, mask = batch.column("ids")[row].values, batch.column("mask")[row].values
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask.to_numpy()
 
     def runs(self) -> Iterator[np.ndarray]:
         """The ids of each record batch, padding left out."""
         for i in range(self.batches):
             batch = self.reader.get_batch(i)
-            ids, mask = batch.column("ids").flatten().to_numpy(), batch.column("mask").flatten()
-            n = mask.true_count
+            ids, mask = batch.column("ids").flatten().to_numpy(), batch.column("mask").flatten().to_numpy()
+            n = int(np.count_nonzero(mask))
             yield ids if n == len(ids) else ids[:n]
 
 
