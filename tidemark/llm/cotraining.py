@@ -182,6 +182,13 @@ def _read(batch: pa.RecordBatch) -> list[list]:
     return [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
 
 
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins and ends, and all values: no object for each."""
+    parts = lists.chunks
+    ends = np.cumsum(np.concatenate([[0], *(np.diff(p.offsets.to_numpy()) for p in parts)])).astype(np.int64)
+    return ends, np.concatenate([np.zeros(0), *(p.flatten().to_numpy() for p in parts)]).astype(np.int64 if pa.types.is_integer(lists.type.value_type) else np.float64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000, seed: int = 1) -> Classifier:
     """Co-trains on bounded samples of ``labels`` (doc_id, quality) and ``docs``."""
     ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
@@ -204,11 +211,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 40
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *flat], names=["id", "ti", "tv", "mi", "mv"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(picked), "_id")
-    rows = some.mapInArrow(features, "id long, ti array<long>, tv array<double>, mi array<long>, mv array<double>").collect()  # bounded by the samples
-    first = {r["id"]: r for r in rows}  # of repeated ids one
+    rows = some.mapInArrow(features, "id long, ti array<long>, tv array<double>, mi array<long>, mv array<double>").toArrow()  # bounded by the samples
+    first: dict[int, int] = {}
+    for k, i in enumerate(rows["id"].to_pylist()):
+        first.setdefault(i, k)  # of repeated ids one
     have = sorted(first, key=lambda i: (zlib.crc32(str(i).encode()), i))
     train, free = [i for i in have if chosen[i] is not None], [i for i in have if chosen[i] is None]
-    views = [[Sparse([(np.array(first[i][a]), np.array(first[i][b])) for i in part], width) for part in (train, free)] for a, b, width in (("ti", "tv", _WORDS + _SHAPES + _FACTS + 1), ("mi", "mv", _META))]
+
+    def view(ids: str, values: str, width: int) -> list[Sparse]:
+        at, i, v = _flat(rows[ids])[0], _flat(rows[ids])[1], _flat(rows[values])[1]
+        return [Sparse([(i[at[first[x]] : at[first[x] + 1]], v[at[first[x]] : at[first[x] + 1]]) for x in part], width) for part in (train, free)]
+
+    views = [view("ti", "tv", _WORDS + _SHAPES + _FACTS + 1), view("mi", "mv", _META)]
+    del rows
     y = np.array([chosen[i] for i in train])
     held = np.zeros(len(train), bool)
     for side in (0, 1):
