@@ -60,7 +60,7 @@ def trend(series: DataFrame, totals: DataFrame) -> DataFrame:
         pct(v, F.lag("tonnage_kg", 1).over(ordered())).alias("mom_pct"),
         F.when((i >= 1) & (first > 0) & (v >= 0), growth).alias("cagr_pct"),
         F.round(share, 3).alias("share_of_total"),
-        F.round(F.round(share, 3) - back(share), 3).alias("share_shift_pp"),
+        (F.round(F.round(share, 3) - back(share), 3) + 0.0).alias("share_shift_pp"),  # no negative zero
     )
 
 

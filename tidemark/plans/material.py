@@ -93,7 +93,7 @@ def name_resolution(spark, d):
     country = (F.col("n_regionkey") + F.when(F.col("s_suppkey") % 2 == 0, 0).otherwise(1)).cast("string")
     names = s.select(raw.alias("raw"), country.alias("country")).withColumn("variants", cells.name_variants(F.col("raw")))
     airports = n.select(F.upper("n_name").alias("name"), F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("iata"), F.col("n_regionkey").cast("string").alias("country"), F.lit(True).alias("is_international"), F.col("n_nationkey").alias("file_order"))
-    return warehouse.resolve(names, airports)
+    return warehouse.resolve(names, airports).drop("method")
 
 
 @query("valid_split", """SELECT reason, count(*) AS rows FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'no provenance' WHEN o_totalprice < 5000 THEN 'tonnage out of range' WHEN o_orderkey % 2 = 0 AND o_custkey % 20 = 0 THEN 'no airport' WHEN o_orderkey % 2 = 1 AND o_custkey % 30 = 0 THEN 'no airline' ELSE 'valid' END AS reason FROM orders) GROUP BY reason""")
