@@ -653,6 +653,42 @@ def test_one_of_each_by_shingles(spark, texts):
     assert shingles.one_of_each(null.unionByName(null)).count() == 4
 
 
+def test_prints_link_directly(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 2**63, 20, dtype=np.uint64)[rng.integers(0, 20, 300)]
+    for _ in range(4):
+        v ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    v = rng.permutation(np.unique(v))
+    fps = spark.createDataFrame([(int(x), i) for i, x in enumerate(v.view(np.int64))], "fp long, node long")
+    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 3
+    want = {i: int(np.flatnonzero(near[i])[0]) for i in range(len(v)) if near[i, :i].any()}
+    for most in (8, 1 << 14):
+        found = simhash.links(fps, 3, shared.Scratch(spark, "s"), most, direct=True).groupBy("u").agg(F.min("v").alias("v"))
+        assert {r["u"]: r["v"] for r in found.collect()} == want
+
+
+def test_near_dedup_goes_through_the_trie(spark, texts, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base, rows = [t for t in texts if t and len(t) > 600][:10], []
+    for t in base:
+        w = t.split()
+        rows += [" ".join(w), " ".join([*w, "end"]), " ".join(w[:-1])]
+    rng.shuffle(rows)
+    seen, links = [], simhash.links
+
+    def noted(fps, *args, **kw):
+        found = links(fps, *args, **kw)
+        seen.append((fps.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(shingles, "links", noted, raising=False)
+    got = corpus_pipeline.near_dedup(spark, docs(spark, rows), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_heads(rows)
+    assert seen and seen[0][0] > len(base) and seen[0][1] >= len(base)  # prints of near copies meet there
+
+
 # ---- pipeline
 
 

@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import Scratch, with_index
-from tidemark.llm.shingles import only
+from tidemark.llm.shared import Scratch, only, with_index
 
 BITS = 64
 
@@ -42,7 +41,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     ends = [*accumulate(len(w) + 1 for w in words)]
     starts = [0, *ends[:-1]]
     last = ends[width - 1 :] or ends[-1:]
-    hashes = np.array([h(joined[a : b - 1], seed) for a, b in zip(starts, last, strict=False)], np.uint64)
+    return majority(np.array([h(joined[a : b - 1], seed) for a, b in zip(starts, last, strict=False)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if over half of the hashes have it set."""
     over = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -112,9 +115,10 @@ def groups(values: np.ndarray, budget: int) -> np.ndarray:
     return root
 
 
-def links(fps: DataFrame, budget: int, scratch: Scratch, most: int = 1 << 14) -> DataFrame:
+def links(fps: DataFrame, budget: int, scratch: Scratch, most: int = 1 << 14, direct: bool = False) -> DataFrame:
     """Edges (u, v) between the ``node`` numbers of ``fps`` (fp, node) that join
-    up all fingerprints within ``budget`` bits: a spanning forest of each cell."""
+    up all fingerprints within ``budget`` bits: a spanning forest of each cell.
+    ``direct``: from each to the smallest node of those within the budget, by cell."""
     blocks = budget + 2
     cuts = [i * BITS // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in pair) for pair in combinations(range(blocks), 2)]
@@ -128,7 +132,8 @@ def links(fps: DataFrame, budget: int, scratch: Scratch, most: int = 1 << 14) ->
     rest = _gathered(F.col("fp").bitwiseAND(free), masks)
     held = dealt.join(sizes, ["k", "key"]).withColumn("depth", depth).withColumn("rest", rest)
     part = F.expr("shiftrightunsigned(rest, 64 - depth)")
-    reach = sorted(sum(1 << i for i in at) for k in range(budget + 1) for at in combinations(range(40), k))
+    top = sizes.agg(F.max(depth)).head()[0] or 0  # the deepest that any cell goes
+    reach = sorted(sum(1 << i for i in at) for k in range(budget + 1) for at in combinations(range(top), k))
     near = F.expr(f"filter(array({', '.join(f'{m}L' for m in reach)}), m -> m < shiftleft(1L, depth))")
     small = held.where("depth = 0").select("k", "key", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "fp", "node")
     large = held.where("depth > 0").withColumn("own", part).select("k", "key", "own", "fp", "node", F.explode(near).alias("m"))
@@ -136,6 +141,8 @@ def links(fps: DataFrame, budget: int, scratch: Scratch, most: int = 1 << 14) ->
     cell = ["k", "key", "p", "q"]
     dealt = small.unionByName(large).repartition(*cell).sortWithinPartitions(*cell)
 
+    edges_of = _direct if direct else _forest
+
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
@@ -147,12 +154,12 @@ def links(fps: DataFrame, budget: int, scratch: Scratch, most: int = 1 << 14) ->
             for a, b in zip([0, *turns], [*turns, len(fp)], strict=True):
                 key = tuple(keys[:, a])
                 if key != last and held:
-                    yield from _forest(held, budget)
+                    yield from edges_of(held, budget)
                     held = []
                 last = key
                 held.append((fp[a:b], node[a:b]))
         if held:
-            yield from _forest(held, budget)
+            yield from edges_of(held, budget)
 
     return dealt.mapInArrow(edges, "u long, v long")
 
@@ -190,6 +197,20 @@ def _forest(held: list, budget: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], names=["u", "v"])
 
 
+def _direct(held: list, budget: int) -> Iterator[pa.RecordBatch]:
+    fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
+    if len(fp) < 2:
+        return
+    order = np.argsort(fp.view(np.uint64))
+    node, best = node[order], node[order]
+    for x, y in trie_pairs(fp[order].view(np.uint64), budget):
+        np.minimum.at(best, x, node[y])
+        np.minimum.at(best, y, node[x])
+    linked = best < node
+    if linked.any():
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(best[linked])], names=["u", "v"])
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the
     smallest doc_id that it reaches by links of at most ``budget`` bits."""
