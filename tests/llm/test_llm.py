@@ -90,6 +90,15 @@ def test_token_files(spark, texts):
     assert at == len(stream)
 
 
+def test_masks_of_a_shard_are_kept_once(spark, texts):
+    scratch = shared.Scratch(spark, "t")
+    manifest = token_files.write(docs(spark, [t for t in texts if t] * 20).coalesce(1), scratch, queries.vocabulary("byte_bpe_50k.json"), length=64, per_batch=16)
+    for row in manifest.collect():
+        system, path = token_files.open_fs(row["path"])
+        batches = -(-row["tokens"] // (64 * 16))
+        assert row["tokens"] > 10_000 and system.get_file_info(path).size < 2.5 * row["tokens"] + 600 * batches  # a byte mask for each id took 3
+
+
 def test_token_files_empty(spark):
     m = token_files.write(docs(spark, []), shared.Scratch(spark, "t"), queries.vocabulary("byte_bpe_50k.json"))
     assert token_files.entries(m).count() == 0

@@ -4,7 +4,9 @@ A shard is one Arrow IPC file whose record batches hold two fixed-size-list
 columns, ``ids`` and ``mask`` (a byte each, 0: padding), so that sequence ``i`` of a
 memory-mapped shard is a slice without a copy or a parse. The documents of a
 shard follow one another in ascending ``doc_id``; only its last sequence is
-padded. Beside it lies an index file with each document's place in the shard.
+padded. So a shard has two masks at most: the column is dictionary-encoded, the
+masks are in the file once and each sequence names its own by a byte. Beside the
+shard lies an index file with each document's place in it.
 
 Null text counts as empty (only the end id is written); null ids come first;
 repeated rows are written as often as they occur; extra columns are ignored.
@@ -36,9 +38,10 @@ class ShardWriter:
         system, path = ready(uri)
         self.length, self.dtype, self.room = length, dtype, length * per_batch * dtype.itemsize
         item = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
         self.out = system.open_output_stream(path)
-        self.writer = pa.ipc.new_file(self.out, self.schema)
+        deltas = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)  # the mask of the last sequence comes late
+        self.writer = pa.ipc.new_file(self.out, self.schema, options=deltas)
         self.held = bytearray()
 
     def add(self, ids: bytes) -> None:
@@ -49,11 +52,14 @@ class ShardWriter:
 
     def _batch(self, data: bytes) -> None:
         ids = np.frombuffer(data, self.dtype)
-        n = -(-len(ids) // self.length) * self.length
-        mask = np.zeros(n, np.uint8)
-        mask[: len(ids)] = 1
-        ids = np.concatenate([ids, np.zeros(n - len(ids), self.dtype)])
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        n, padding = -(-len(ids) // self.length), -len(ids) % self.length
+        masks, own = np.ones(self.length, np.uint8), np.zeros(n, np.int8)
+        if padding:
+            masks, own[-1] = np.concatenate([masks, masks]), 1
+            masks[-padding:] = 0
+            ids = np.concatenate([ids, np.zeros(padding, self.dtype)])
+        ids, masks = (pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, masks))
+        columns = [ids, pa.DictionaryArray.from_arrays(pa.array(own), masks)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -78,15 +84,16 @@ class Shard:
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence ``i``, both views of the file."""
         batch, row = self.reader.get_batch(i // self.per_batch), i % self.per_batch
-        ids, mask = batch.column("ids")[row].values, batch.column("mask")[row].values
-        return ids.to_numpy(), mask.to_numpy()
+        ids, mask = batch.column("ids")[row].values, batch.column("mask")
+        return ids.to_numpy(), mask.dictionary[mask.indices[row].as_py()].values.to_numpy()
 
     def runs(self) -> Iterator[np.ndarray]:
         """The ids of each record batch, padding left out."""
         for i in range(self.batches):
             batch = self.reader.get_batch(i)
-            ids, mask = batch.column("ids").flatten().to_numpy(), batch.column("mask").flatten().to_numpy()
-            n = int(np.count_nonzero(mask))
+            ids, mask = batch.column("ids").flatten().to_numpy(), batch.column("mask")
+            sizes = mask.dictionary.flatten().to_numpy().reshape(-1, self.length).sum(1, dtype=np.int64)
+            n = int(sizes[mask.indices.to_numpy()].sum())
             yield ids if n == len(ids) else ids[:n]
 
 
