@@ -324,6 +324,20 @@ def test_imatch_prints_by_brute_force(spark, texts):
             assert got[i]["near_next"] == 1.0
 
 
+def test_imatch_makes_each_print_once(spark, texts, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return f"{len(text):0400d}"
+
+    monkeypatch.setattr(imatch, "fingerprint", lambda text, _: counted(text))
+    rows = [t or "" for t in texts] * 10
+    imatch.fingerprints(docs(spark, rows)).write.format("noop").mode("overwrite").save()
+    assert 2 * len(rows) <= made.value <= 2 * len(rows) + 8 * 4 + 1  # texts, edited texts, the first of each range
+
+
 # ---- 6 packing
 
 

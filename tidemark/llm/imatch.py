@@ -21,6 +21,7 @@ empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,10 +131,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(share).cast("double")
 
 
-def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (doc_id, text, print) with ``next``, text and print of the following
-    row by descending id, after the last the first. Texts move once, to ranges of
-    ids; only the first row of each range goes to another."""
+def with_next(docs: DataFrame, scratch: Scratch, print_of: Callable[[Column], Column]) -> DataFrame:
+    """Rows (doc_id, text) with ``print``, that of the text, and ``next``, text and
+    print of the following row by descending id, after the last the first. Texts
+    move once, to ranges of ids; only the first row of each range goes to another,
+    and is the only one whose print is made twice."""
     # ids are small, texts aren't: several ranges for each shuffle partition of the texts
     ranges = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = in_total_order(docs.select("doc_id"), [F.desc_nulls_last("doc_id")], scratch, "order", ranges)
@@ -143,11 +145,12 @@ def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     bucket = F.when(F.col("doc_id").isNull(), len(lows)).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("doc_id"))))
     ranged = docs.withColumns({"_bucket": bucket, "_h": F.xxhash64("text")})
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), (-F.col("_h").cast("decimal(20,0)")).alias("h"))
-    firsts = scratch.cut(ranged.groupBy("_bucket").agg(F.max_by(F.struct("text", "print"), place).alias("_first")), "firsts")
+    firsts = scratch.cut(ranged.groupBy("_bucket").agg(F.max_by("text", place).alias("text")), "firsts")
+    firsts = scratch.cut(firsts.select("_bucket", F.struct("text", print_of(F.col("text")).alias("print")).alias("_first")), "first-prints")
     w = Window.orderBy("_bucket")  # one row for each range
     follow = firsts.select("_bucket", F.coalesce(F.lead("_first").over(w), F.first("_first").over(w)).alias("_n"))
     follow = scratch.cut(follow.withColumnRenamed("_bucket", "_b"), "follow")
-    led = ranged.withColumn("_lead", F.lead(F.struct("text", "print")).over(Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), "_h")))
+    led = ranged.withColumn("print", print_of(F.col("text"))).withColumn("_lead", F.lead(F.struct("text", "print")).over(Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), "_h")))
     joined = led.join(follow, (F.col("_bucket") == F.col("_b")) & F.col("_lead").isNull(), "left")
     return joined.select("doc_id", "text", "print", F.coalesce("_lead", "_n").alias("next"))
 
@@ -158,7 +161,7 @@ def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, scratc
     scratch = scratch or Scratch(docs.sparkSession, "imatch")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     held = lexicon(docs, low, high)
-    pairs = with_next(docs.withColumn("print", fingerprint(F.col("text"), held)), scratch)
+    pairs = with_next(docs, scratch, lambda text: fingerprint(text, held))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next.text", half))
