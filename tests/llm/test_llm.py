@@ -402,6 +402,20 @@ def test_cotraining(spark):
     assert cotraining.score(docs(spark, []), cotraining.fit(docs(spark, []), labels)).count() == 0
 
 
+def test_cotraining_is_fitted_off_the_driver(spark, monkeypatch):
+    """Features of the sample stay with the executors; the rows of one id are
+    taken in the same order however they lie."""
+    rng = random.Random(6)
+    truth = [rng.random() < 0.6 for _ in range(120)]
+    df = docs(spark, [" ".join(rng.choice(["river", "stone", "the"] if g else ["win$$$", "free%%%", "the"]) for _ in range(30)) for g in truth])
+    again = df.withColumn("text", F.lit("click### river"))
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(truth[:80])], "doc_id long, quality int")
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(type(df), name, lambda self: pytest.fail("the sample went to the driver"))
+    a, b = (cotraining.fit(x, labels) for x in (df.unionByName(again), again.unionByName(df)))
+    assert np.array_equal(a.text, b.text) and np.array_equal(a.meta, b.meta) and a.scales == b.scales and a.text.any()
+
+
 # ---- 8 nearest neighbours
 
 

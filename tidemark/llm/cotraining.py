@@ -19,6 +19,7 @@ scored alike; extra columns pass through; an empty table stays empty.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -77,11 +78,9 @@ def metadata(lang: str | None, source: str | None, n_chars: int | None) -> tuple
 class Sparse:
     """Rows of numbered features."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.ids = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-        self.n, self.width = len(rows), width
+    def __init__(self, lengths: np.ndarray, ids: np.ndarray, values: np.ndarray, width: int):
+        self.row, self.ids, self.values = np.repeat(np.arange(len(lengths)), lengths), ids, values
+        self.n, self.width = len(lengths), width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.values * w[self.ids], self.n)
@@ -141,52 +140,46 @@ class Classifier:
         return _sigmoid(out)
 
 
-def cotrain(views: list[Sparse], labels: np.ndarray, pools: list[Sparse], held: np.ndarray, rounds: int = 4, share: float = 0.1, sure: float = 0.95) -> Classifier:
-    """``labels`` of the labelled rows; ``held`` of them are for calibration."""
+def cotrain(views: list[Sparse], labels: np.ndarray, held: np.ndarray, rounds: int = 4, share: float = 0.1, sure: float = 0.95) -> Classifier:
+    """``labels`` of the first rows, ``held`` of them for calibration; the other
+    rows are the pool."""
     y = labels.astype(float)
     balance = np.where(y > 0, 0.5 / max(y[~held].mean(), 1e-6), 0.5 / max(1 - y[~held].mean(), 1e-6))
     weight = np.where(held, 0.0, balance)
-    n = pools[0].n
+    m, n = len(y), views[0].n - len(y)
     given = [np.full(n, np.nan), np.full(n, np.nan)]  # what each view has been told of the pool
-    joined = [_stacked(a, b) for a, b in zip(views, pools, strict=True)]
     w: list = [None, None]
     for r in range(rounds + 1):
         for k in range(2):
             told = np.nan_to_num(given[k], nan=0.0)
             ok = ~np.isnan(given[k])
-            w[k] = logistic(joined[k], np.concatenate([y, told]), np.concatenate([weight, np.where(ok, 0.5, 0.0)]), w[k], steps=120 if r == 0 else 60)
+            w[k] = logistic(views[k], np.concatenate([y, told]), np.concatenate([weight, np.where(ok, 0.5, 0.0)]), w[k], steps=120 if r == 0 else 60)
         if r == rounds or not n:
             break
         for k in range(2):
-            other = 1 - k
-            a, b = calibrated(views[k].dot(w[k])[held], y[held])
-            p = _sigmoid(a * pools[k].dot(w[k]) + b)
+            other, z = 1 - k, views[k].dot(w[k])
+            a, b = calibrated(z[:m][held], y[held])
+            p = _sigmoid(a * z[m:] + b)
             free = np.isnan(given[other])
             for side, rate in ((p, y.mean()), (1 - p, 1 - y.mean())):
                 order = np.argsort(-np.where(free, side, -1), kind="stable")[: max(1, int(share * rate * n))]
                 order = order[(side[order] >= sure) & free[order]]
                 given[other][order] = float(side is p)
-    scales = [calibrated(views[k].dot(w[k])[held], y[held]) for k in range(2)]
+    scales = [calibrated(views[k].dot(w[k])[:m][held], y[held]) for k in range(2)]
     prior = float(np.log((y[held].sum() + 1) / ((1 - y[held]).sum() + 1)))
     return Classifier(w[0], w[1], scales, prior)
 
 
-def _stacked(a: Sparse, b: Sparse) -> Sparse:
-    out = Sparse([], a.width)
-    out.row, out.ids, out.values = np.concatenate([a.row, a.n + b.row]), np.concatenate([a.ids, b.ids]), np.concatenate([a.values, b.values])
-    out.n = a.n + b.n
-    return out
-
-
 def _read(batch: pa.RecordBatch) -> list[list]:
     return [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each list begins and ends, and all values: no object for each."""
-    parts = lists.chunks
-    ends = np.cumsum(np.concatenate([[0], *(np.diff(p.offsets.to_numpy()) for p in parts)])).astype(np.int64)
-    return ends, np.concatenate([np.zeros(0), *(p.flatten().to_numpy() for p in parts)]).astype(np.int64 if pa.types.is_integer(lists.type.value_type) else np.float64)
+def _view(ids: pa.ListArray, values: pa.ListArray, order: np.ndarray, width: int) -> Sparse:
+    """The rows at ``order``: no object for each."""
+    ends, i, v = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy(), values.flatten().to_numpy()
+    lengths = np.diff(ends)[order].astype(np.int64)
+    at = np.repeat(ends[order] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    return Sparse(lengths, i[at].astype(np.int64), v[at], width)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000, seed: int = 1) -> Classifier:
@@ -207,28 +200,29 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 40
         for batch in batches:
             columns = _read(batch)
             found = [content(t) for t in columns[0]], [metadata(*x) for x in zip(*columns[1:], strict=True)]
-            flat = [pa.array([x[i].tolist() for x in view], pa.list_(kind)) for view in found for i, kind in ((0, pa.int64()), (1, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *flat], names=["id", "ti", "tv", "mi", "mv"])
-
-    some = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(picked), "_id")
-    rows = some.mapInArrow(features, "id long, ti array<long>, tv array<double>, mi array<long>, mv array<double>").toArrow()  # bounded by the samples
-    first: dict[int, int] = {}
-    for k, i in enumerate(rows["id"].to_pylist()):
-        first.setdefault(i, k)  # of repeated ids one
-    have = sorted(first, key=lambda i: (zlib.crc32(str(i).encode()), i))
-    train, free = [i for i in have if chosen[i] is not None], [i for i in have if chosen[i] is None]
-
-    def view(ids: str, values: str, width: int) -> list[Sparse]:
-        at, i, v = _flat(rows[ids])[0], _flat(rows[ids])[1], _flat(rows[values])[1]
-        return [Sparse([(i[at[first[x]] : at[first[x] + 1]], v[at[first[x]] : at[first[x] + 1]]) for x in part], width) for part in (train, free)]
-
-    views = [view("ti", "tv", _WORDS + _SHAPES + _FACTS + 1), view("mi", "mv", _META)]
-    del rows
-    y = np.array([chosen[i] for i in train])
-    held = np.zeros(len(train), bool)
-    for side in (0, 1):
-        held[np.flatnonzero(y == side)[::4]] = True
-    return cotrain([v[0] for v in views], y, [v[1] for v in views], held)
+            flat = [pa.array([x[i].tolist() for x in view], pa.list_(kind)) for view in found for i, kind in ((0, pa.int32()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *flat], names=["id", "h", "ti", "tv", "mi", "mv"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        first: dict[int, int] = {}
+        for _, i, k in sorted(zip(rows.column("h").to_pylist(), rows.column("id").to_pylist(), range(rows.num_rows), strict=True)):
+            first.setdefault(i, k)  # of repeated ids one
+        have = sorted(first, key=lambda i: (chosen[i] is None, zlib.crc32(str(i).encode()), i))
+        order = np.array([first[i] for i in have])
+        views = [_view(rows.column(i), rows.column(v), order, width) for i, v, width in (("ti", "tv", _WORDS + _SHAPES + _FACTS + 1), ("mi", "mv", _META))]
+        del rows
+        y = np.array([chosen[i] for i in have if chosen[i] is not None])
+        held = np.zeros(len(y), bool)
+        for side in (0, 1):
+            held[np.flatnonzero(y == side)[::4]] = True
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(cotrain(views, y, held))])], names=["model"])
+
+    fields = ["text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")]
+    some = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(*fields).alias("_h"), *fields).join(F.broadcast(picked), "_id")
+    rows = some.mapInArrow(features, "id long, h long, ti array<int>, tv array<double>, mi array<int>, mv array<double>")
+    # bounded by the samples; in one task, so that the driver holds the model alone
+    return pickle.loads(rows.repartition(1).mapInArrow(fitted, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Classifier, least: float = 0.5) -> DataFrame:
