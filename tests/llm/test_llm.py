@@ -229,6 +229,50 @@ def test_lines(spark):
     assert {(r["doc_id"], r["text"]) for r in null.collect()} == {(0, "a b c"), (None, "")}
 
 
+@pytest.mark.parametrize("common, fetches", [(2, 2), (256, 1)])
+def test_lines_of_other_sizes_and_crowded_words(spark, monkeypatch, common, fetches):
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(400)]
+    base = [rng.sample(pool, n) for n in (4, 5, 8, 9, 10, 18, 19, 27, 40, 70, 90)]
+
+    def variant(words):  # near 0.8 on both sides, of more and of fewer words
+        w, edits = list(words), rng.randint(0, len(words) // 5 + 1)
+        for _ in range(edits):
+            if rng.random() < 0.5 and len(w) > 1:
+                w.pop(rng.randrange(len(w)))
+            else:
+                w.append(rng.choice(pool))
+        rng.shuffle(w)
+        return rng.choice([" ", "  ", "\t"]).join(w) + rng.choice(["", " "])
+
+    texts = ["\n".join(variant(rng.choice(base)) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    fetched, own = [], linededup._sets
+    monkeypatch.setattr(linededup, "_sets", lambda *a: fetched.append(1) or own(*a))
+    monkeypatch.setattr(linededup, "COMMON", common)
+    monkeypatch.setattr(linededup, "FEW", 1)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {r["doc_id"]: r["text"] for r in linededup.without_duplicate_lines(docs(spark, texts)).collect()}
+    want = brute_lines(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 20 < sum(t.count("\n") + 1 for t in want if t) < sum(t.count("\n") + 1 for t in texts) - 20
+    assert len(fetched) == fetches  # the texts are fetched once, and once more for crowded words alone
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+
+
+def test_lines_avoid_the_writer_of_many_files(spark, monkeypatch):
+    seen, own = [], linededup.rarity
+    monkeypatch.setattr(linededup, "rarity", lambda d: seen.append(spark.conf.get("spark.sql.shuffle.partitions")) or own(d))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("200", "4", "1000"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            linededup.without_duplicate_lines(docs(spark, []))
+            assert spark.conf.get("spark.sql.shuffle.partitions") == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert seen == ["201", "4", "1000"]
+
+
 # ---- 5 I-Match
 
 
