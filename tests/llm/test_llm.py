@@ -460,6 +460,35 @@ def test_cotraining_is_fitted_off_the_driver(spark, monkeypatch):
     assert np.array_equal(a.text, b.text) and np.array_equal(a.meta, b.meta) and a.scales == b.scales and a.text.any()
 
 
+def test_workers_keep_one_bounded_memory():
+    """What a Python worker gathers over a stage is bounded, and the next stage's takes its place."""
+    from tidemark.llm.encoding import encoder
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    shared._REMEMBERED.clear()
+    cotraining.content("one two")
+    enc = encoder(path)
+    assert list(shared._REMEMBERED) == [path] and encoder(path) is enc
+    cotraining.content("one two")
+    assert len(shared._REMEMBERED) == 1
+    rows = [" ".join(f"{'abcdefghij'[k % 10]}{i * 997 + k}" for k in range(1000)) + " common words, here." for i in range(300)]
+    found = [cotraining.content(t) for t in rows]
+    kept = shared._REMEMBERED["buckets"]
+    assert len(kept) + len(kept.older) <= 2 * kept.most <= 200_000 and b"common" in kept
+    assert all(np.array_equal(x, y) for a, b in zip(found[:3], map(cotraining.content, rows[:3])) for x, y in zip(a, b, strict=True))
+    enc = type(enc)(path, most=2000)
+    assert enc.encode(rows[:20]) == [np.asarray(whole("word_bpe_49k.json")(t), enc.dtype).tobytes() for t in rows[:20]]
+    assert len(enc.words) + len(enc.older_words) <= 2 * (enc.most + 1003) and "common" in enc.words
+
+
+def test_batches_are_taken_in_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    got = list(shared.parts(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in got] == [256, 256, 256, 232, 0] and [x for b in got for x in b.column(0).to_pylist()] == list(range(1000))
+
+
 # ---- 8 nearest neighbours
 
 

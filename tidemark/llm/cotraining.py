@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import parts, remembered
+
 _WORDS, _SHAPES, _FACTS = 1 << 15, 1 << 10, 5
 _META = 341
 _LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
@@ -36,26 +38,32 @@ _DIGITS = re.compile(rb"[0-9]+")
 
 
 class _Buckets(dict):
-    """Word to its bucket and its shape's; computed once a word, bounded."""
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 500_000:
+    """Word to its bucket, and in the low 16 bits its shape's; of the last ``most``
+    words, and of as many before them, from which those still in use come back."""
+
+    def __init__(self, most: int = 100_000):
+        self.most, self.older = most, {}
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.older.get(word)
+        if found is None:
+            shape = _DIGITS.sub(b"0", _LETTERS.sub(b"a", word))
+            found = zlib.crc32(word.lower()) % _WORDS << 16 | _WORDS + zlib.crc32(shape) % _SHAPES
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        shape = _DIGITS.sub(b"0", _LETTERS.sub(b"a", word))
-        found = self[word] = zlib.crc32(word.lower()) % _WORDS, _WORDS + zlib.crc32(shape) % _SHAPES
+        self[word] = found
         return found
 
 
-_BUCKETS = _Buckets()
-
-
 def content(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Features of the words: their numbers and values; shares of all words."""
     data = (text or "").encode("utf-8", "replace")
     words = data.split()
     if not words:
         return np.array([_WORDS + _SHAPES + _FACTS]), np.ones(1)
-    pairs = np.array(list(map(_BUCKETS.__getitem__, words)), np.int64)
+    both = np.fromiter(map(remembered("buckets", _Buckets).__getitem__, words), np.int64, len(words))
+    pairs = np.stack([both >> 16, both & 0xFFFF], 1)
     ids, counts = np.unique(pairs, return_counts=True)
     n = len(words)
     top = counts[ids < _WORDS].max() / n
@@ -197,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 40
     picked = docs.sparkSession.createDataFrame([(k,) for k in chosen], "_id long")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             columns = _read(batch)
             found = [content(t) for t in columns[0]], [metadata(*x) for x in zip(*columns[1:], strict=True)]
             flat = [pa.array([x[i].tolist() for x in view], pa.list_(kind)) for view in found for i, kind in ((0, pa.int32()), (1, pa.float64()))]
@@ -230,7 +238,7 @@ def score(docs: DataFrame, model: Classifier, least: float = 0.5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             p = sent.value.scores(*_read(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= least)], names=["doc_id", "text_score", "meta_score", "score", "keep"])
 
@@ -242,7 +250,7 @@ def kept(docs: DataFrame, model: Classifier, least: float = 0.5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             p = sent.value.scores(*_read(batch))
             yield batch.filter(pa.array(p[:, 2] >= least))
 

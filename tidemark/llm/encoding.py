@@ -17,6 +17,8 @@ from array import array
 import numpy as np
 import regex
 
+from tidemark.llm.shared import remembered
+
 #: The pattern by which byte-level pre-tokenization splits text (fixed value).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SEPARATORS = ["\x1c", "\x1d", "\x1e", "\x1f"]
@@ -33,10 +35,11 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Encodes texts to little-endian id bytes; keeps ids of words seen, up to
-    ``most`` words, then starts anew (memory stays bounded)."""
+    """Encodes texts to little-endian id bytes; keeps ids of the last ``most`` words,
+    half as many pieces, and as many of both before them, from which those still in
+    use come back (memory stays bounded)."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,6 +52,7 @@ class WordEncoder:
         parts = (spec.get("normalizer") or {}).get("normalizers") or []
         self.lowers = [p.get("type") for p in parts] == ["NFC", "Replace", "Lowercase"]  # on ASCII words: lower-casing alone
         self.most, self.words, self.pieces = most, {}, {}
+        self.older_words, self.older_pieces = {}, {}
         self.letters = {chr(i): c for i, c in enumerate(_byte_letters())}
         self.pattern, self.keeps_space = self._splitter(spec)
 
@@ -71,14 +75,16 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if piece.isascii() and piece.isprintable():
-                mapped = piece.replace(" ", self.letters[" "])
-            else:
-                mapped = "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
-            ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-            self.pieces[piece] = ids
+            ids = self.pieces[piece] = self.older_pieces.get(piece) or self._tokens(piece)
         return ids
 
+    def _tokens(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            mapped = piece.replace(" ", self.letters[" "])
+        else:
+            mapped = "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
     def _word(self, word: str, lead: str) -> bytes:
         """Ids of a word after ``lead`` (a space or nothing)."""
         if self.tokenizer.normalizer is not None:
@@ -100,12 +106,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``; null: empty."""
-        if len(self.words) > self.most:
-            self.words = {}
-        if len(self.pieces) > self.most:
-            self.pieces = {}
         lead, out = " " if self.keeps_space else "", []
         for text in texts:
+            if len(self.words) >= self.most:
+                self.older_words, self.words = self.words, {}
+            if 2 * len(self.pieces) >= self.most:
+                self.older_pieces, self.pieces = self.pieces, {}
             if not text:
                 out.append(b"")
             elif not self._cuttable(text):
@@ -123,15 +129,11 @@ class WordEncoder:
             for i, x in enumerate(ids):
                 if x is None:
                     w = cut[i]
-                    ids[i] = self.words[w] = self._word(w, lead)
+                    old = self.older_words.get(w)
+                    ids[i] = self.words[w] = self._word(w, lead) if old is None else old
         return b"".join(ids)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a vocabulary file; reused by later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return remembered(path, lambda: WordEncoder(path))

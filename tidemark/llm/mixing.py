@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD, Scratch, before, in_total_order
+from tidemark.llm.shared import WORD, Scratch, before, in_total_order, parts
 
 WEIGHTS = (5, 2, 1)
 MOST_USES = 3
@@ -188,7 +188,7 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block: int = 64, seed: in
     at = names.index("text")
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             picks, texts = [], []
             for i, (text, size, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__size").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
                 words = None

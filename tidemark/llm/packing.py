@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.encoding import encoder
-from tidemark.llm.shared import Scratch, with_index
+from tidemark.llm.shared import Scratch, parts, with_index
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -41,7 +41,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_i
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         size, end = enc.dtype.itemsize, np.asarray([end_id], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in parts(batches):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
