@@ -315,6 +315,11 @@ def test_imatch_lexicon_holds_the_band_alone(spark, monkeypatch):
     assert [len(r["t"]) for r in kept] == [sum(w in band for w in t.split()) for t in rows]
 
 
+def test_imatch_full_rate_takes_all_terms_as_they_are(spark):
+    counts = [str(imatch._at_rate(F.col("t"), taken, of, 4)).count("filter(") for taken, of in ((16, 16), (16, 128))]
+    assert counts[0] < counts[1]  # as many before
+
+
 def murmur(longs, seed=42):
     """Spark's hash of an array of longs."""
     m, rot = 0xFFFFFFFF, lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF

@@ -108,7 +108,7 @@ def _at_rate(terms: Column, taken: int, of: int, shift: int) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.lit(taken - 1)), lambda j: hashed(F.filter(some, lambda h: cell(h) == j)))
         return F.array_join(each, "")
 
-    some = F.filter(terms, lambda h: cell(h) < taken)
+    some = F.filter(terms, lambda h: cell(h) < taken) if taken < of else terms
     return F.element_at(F.transform(F.array(some), subsets), 1)
 
 
