@@ -259,6 +259,22 @@ def test_lines_of_other_sizes_and_crowded_words(spark, monkeypatch, common, fetc
     assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
 
 
+def test_lines_keep_rarity_out_of_plans_and_rows(spark):
+    plans = {}
+
+    class Spy(shared.Scratch):
+        def cut(self, df, name):
+            plans[name] = df._jdf.queryExecution().toString()
+            return super().cut(df, name)
+
+    found = linededup.without_duplicate_lines(docs(spark, ["a b c d e\nf\tg\r", "e d c b a\n g f"]), scratch=Spy(spark, "lines"))
+    assert [r["text"] for r in found.orderBy("doc_id").collect()] == ["a b c d e\nf\tg\r", ""]
+    assert {"lines", "first-sets"} <= plans.keys() and max(map(len, plans.values())) < 100_000  # the driver keeps the text of every plan
+    for name in ("lines", "first-sets"):
+        optimized = plans[name].split("== Optimized Logical Plan ==")[1]
+        assert "subquery" in optimized and "AS levels" not in optimized
+
+
 def test_lines_avoid_the_writer_of_many_files(spark, monkeypatch):
     seen, own = [], linededup.rarity
     monkeypatch.setattr(linededup, "rarity", lambda d: seen.append(spark.conf.get("spark.sql.shuffle.partitions")) or own(d))
