@@ -289,6 +289,49 @@ def test_lines_avoid_the_writer_of_many_files(spark, monkeypatch):
     assert seen == ["201", "4", "1000"]
 
 
+def test_lines_hash_texts_once_and_count_few_prefix_words(spark, monkeypatch):
+    plans, maps, own = {}, [], linededup.rarity
+    name = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    monkeypatch.setattr(linededup, "rarity", lambda d: maps.append(spark.conf.get(name)) or own(d))
+    held = spark.conf.get(name, None)
+
+    class Spy(shared.Scratch):
+        def cut(self, df, name):
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            return super().cut(df, name)
+
+    linededup.without_duplicate_lines(docs(spark, ["a b c d e\nf g", "e d c b a"]), scratch=Spy(spark, "lines"))
+    assert maps == [str(linededup.BUCKETS)] and spark.conf.get(name, None) == held
+    above, below = plans["lines"].split("Generate posexplode")
+    assert "xxhash64(text" in below and "xxhash64(text" not in above  # not for each of its lines
+    assert "word" in plans["common"] and "< 0)" in plans["common"]
+
+
+@pytest.mark.parametrize("common", [3, 16])
+def test_lines_tell_words_that_may_be_common(spark, monkeypatch, common):
+    monkeypatch.setattr(linededup, "COMMON", common)
+    words = [f"w{i}" for i in range(40) for _ in range(i + 1)]
+    levels = linededup.rarity(docs(spark, [" ".join(words)]))
+    often = levels.first()["often"]
+    lines = spark.createDataFrame([(i, f"w{i}") for i in range(40)], "i int, line string")
+    got = {r["i"]: r["x"][0] >= often for r in linededup.codes(lines, F.col("line"), levels, F.col("i")).collect()}
+    assert all(got[i] for i in range(common, 40)) and not any(got[i] for i in range(common // 2))
+
+
+def test_parities_differ_at_most_as_sets(spark):
+    rng = random.Random(9)
+    rows = []
+    for n in (5, 60, 64, 65, 90, 300):
+        x = [rng.getrandbits(63) - (1 << 62) for _ in range(n)]
+        for k in (1, n // 5):
+            rows += [(sorted(x), sorted(x[k:]), k), (sorted(x), sorted(x[k:] + [rng.getrandbits(63) for _ in range(k)]), 2 * k), (sorted(x), [rng.getrandbits(63) for _ in range(n)], 2 * n)]
+    df = spark.createDataFrame(rows, "xa array<bigint>, xb array<bigint>, most int")
+    of = {f"s{i}{c}": linededup._parities(F.col(f"x{c}"))[i] for c in "ab" for i in (0, 1)}
+    found = df.withColumns(of).select("most", F.size("xa").alias("n"), linededup._differ().alias("d")).collect()
+    assert all(r["d"] <= r["most"] for r in found)
+    assert all(r["d"] > r["n"] / 4 for r in found if r["most"] == 2 * r["n"] and 60 <= r["n"] <= 90)  # and different sets are told apart
+
+
 # ---- 5 I-Match
 
 
